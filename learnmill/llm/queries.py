@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, quality, tokencount, toxicity, urls
+from . import bpe, fpindex, html, quality, simhash, tokencount, toxicity, urls
 from .common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), urls.rules_frame(spark))
 
@@ -29,7 +39,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_url_filters, op6_bpe, op8_token_counts, op9_toxicity)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fpindex.dedup_substrings(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op4_simhash, op5_url_filters, op6_bpe, op8_token_counts, op9_toxicity, op10_substring_dedup)}
 
 _PHRASES = " OR ".join(f"contains(lower(line), '{p}')" for p in quality.BOILERPLATE)
 _SEPARATORS = ", ".join(f"'{s}'" for s in quality.SEPARATORS)

@@ -36,11 +36,12 @@ SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "trash collection", "pond scum", "clown fish", "class clown")
 #: Most training rows of each label, beginnings of words that are tried, least rows with an entry, most candidates,
 #: and entries that each toxic row should have.
-SAMPLE, STEMS, LEAST, MOST, COVER = 6000, (4, 5, 6), 3, 5000, 3
+SAMPLE, STEMS, LEAST, MOST, COVER = 5000, (3, 4, 5, 6, 7, 8), 3, 5000, 3
 
 _TABLE = str.maketrans(HOMOGLYPHS)
 _SIGNED = re.compile(r"(?=[^\W\d_]*[0-9@$])(?=[0-9@$]*[^\W\d_])[^\W_@$]*[\w@$]+")
 _SIGN_TABLE = str.maketrans(SIGNS)
+_TRAILING = re.compile(r"[@$]+(?![\w@$])")
 _ZERO_WIDTH = re.compile("[­​-‏⁠﻿]")
 _GAP = re.compile(r"[\W_]+")
 
@@ -54,7 +55,7 @@ def fold(text: str | None) -> str:
     else:
         text = text.lower()
     if any(c in text for c in SIGNS):
-        text = _SIGNED.sub(lambda m: m[0].translate(_SIGN_TABLE), text)
+        text = _SIGNED.sub(lambda m: m[0].translate(_SIGN_TABLE), _TRAILING.sub(" ", text))
     return f" {_GAP.sub(' ', text).strip()} "
 
 
