@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fpindex, html, quality, simhash, tokencount, toxicity, urls
+from . import bpe, fpindex, html, linededup, quality, simhash, tokencount, toxicity, urls
 from .common import table
 
 
@@ -30,6 +30,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents")))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", F.col("n_lines_removed").alias("n_removed"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -44,7 +49,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op4_simhash, op5_url_filters, op6_bpe, op8_token_counts, op9_toxicity, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op4_simhash, op5_url_filters, op6_bpe, op7_line_dedup, op8_token_counts, op9_toxicity, op10_substring_dedup)}
 
 _PHRASES = " OR ".join(f"contains(lower(line), '{p}')" for p in quality.BOILERPLATE)
 _SEPARATORS = ", ".join(f"'{s}'" for s in quality.SEPARATORS)
