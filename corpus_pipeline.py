@@ -5,12 +5,48 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from learnmill.llm import bpe, decontaminate, linededup, simhash, toxicity
 from learnmill.llm.common import scratch_dir, table
 
-STAGES: list = []
 
-#: The token ids of the last stage have no SQL form.
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the learned lexicon calls toxic go."""
+    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that are near an earlier line are cut; n_chars follows the text. No document goes."""
+    cut = linededup.dedup_lines(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest doc_id."""
+    return simhash.keep_one(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage near a benchmark item go."""
+    return decontaminate.drop_leaking(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and what they decode to, as counts and digests."""
+    return bpe.digests(bpe.encode_decode(docs))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("SimHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("BPE encoding and decoding", encode),
+]
+
+#: Learned scores, MinHash and token ids have no SQL form.
 ORACLE_SQL = None
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fpindex, html, linededup, quality, simhash, tokencount, toxicity, urls
+from . import bpe, decontaminate, fpindex, html, linededup, quality, simhash, tokencount, toxicity, urls
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -49,7 +53,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op4_simhash, op5_url_filters, op6_bpe, op7_line_dedup, op8_token_counts, op9_toxicity, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_decontamination, op4_simhash, op5_url_filters, op6_bpe, op7_line_dedup, op8_token_counts, op9_toxicity, op10_substring_dedup)}
 
 _PHRASES = " OR ".join(f"contains(lower(line), '{p}')" for p in quality.BOILERPLATE)
 _SEPARATORS = ", ".join(f"'{s}'" for s in quality.SEPARATORS)
