@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "dbscan_user"
+from learnmill.plans import basic  # noqa: F401
+from learnmill.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
+
+FLAGSHIP = "zscore_customer"
