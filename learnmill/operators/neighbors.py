@@ -122,7 +122,7 @@ def optics(points: DataFrame, min_points: int, radius: float) -> DataFrame:
                     visit(j)
         return pd.DataFrame(rows, columns=["pos", "id", "core_distance", "reachability"])
 
-    return near.groupBy(F.lit(1)).applyInPandas(walk, "pos long, id long, core_distance double, reachability double")
+    return near.groupBy(F.lit("all")).applyInPandas(walk, "pos long, id long, core_distance double, reachability double")
 
 
 def optics_cut(order: DataFrame, radius: float) -> DataFrame:
@@ -189,7 +189,7 @@ def steep_areas(order: DataFrame, xi: float, min_points: int, min_length: int =
                 t += 1
         return pd.DataFrame(sorted(set(out)), columns=["start", "stop"])
 
-    return order.groupBy(F.lit(1)).applyInPandas(extract, "start long, stop long")
+    return order.groupBy(F.lit("all")).applyInPandas(extract, "start long, stop long")
 
 
 def k_distance_neighbors(points: DataFrame, k: int, radius: float) -> DataFrame:
