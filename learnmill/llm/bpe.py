@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 from .wordbpe import Vocabulary, default_vocabulary, vocabulary
 
-#: Most entries of a worker's memo of pieces and of pairs; a full memo is emptied.
-MEMO = 1_200_000
+#: Most entries of a worker's memo of pieces, and of pairs; a full memo is emptied.
+MEMO, PAIRS = 700_000, 300_000
 NEVER = 1 << 60
 
 
@@ -105,7 +105,7 @@ class PrefixEncoder:
             last, back = [-1] * (n + 1), [0] * (n + 1)
             last[n] = 0  # the place of the word end is for final tokens
             stands, apart, meets = self.stands, self.pair_memo, self.meets
-            if len(apart) > MEMO:
+            if len(apart) > PAIRS:
                 apart.clear()
             for end, (size, token) in self.inner.iter(chars):
                 end += 1
