@@ -17,7 +17,7 @@ from .common import arrow_map
 from .wordbpe import Vocabulary, default_vocabulary, vocabulary
 
 #: Most entries of a worker's memo of counts, and characters of text handled at once (one text at least).
-MEMO, AT_ONCE = 1_200_000, 4_000_000
+MEMO, AT_ONCE = 700_000, 3_000_000
 
 
 class RankMerger:
