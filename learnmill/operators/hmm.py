@@ -143,7 +143,7 @@ def baum_welch_step(sequences: DataFrame, m: Hmm, floor: float = 1e-8) -> tuple[
         g = np.exp(a + z - evidence)
         with np.errstate(divide="ignore"):
             xi = np.exp(a[:-1, :, None] + np.log(m.moves) + (b[1:] + z[1:])[:, None, :] - evidence).sum(axis=0)
-        row = [*g[0], *xi.ravel(), *g.sum(axis=0), *(g * x[:, None]).sum(axis=0), *(g * x[:, None] ** 2).sum(axis=0), evidence]
+        row = [*g[0], *xi.ravel(), *g.sum(axis=0), *(g * x[:, None]).sum(axis=0), *(g * x[:, None] ** 2).sum(axis=0), float(evidence)]
         return pd.DataFrame([row], columns=names)
 
     r = _by_sequence(sequences, run, ", ".join(f"{n} double" for n in names)).agg(*(F.sum(n).alias(n) for n in names)).first()
