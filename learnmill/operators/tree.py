@@ -189,7 +189,8 @@ class Tree:
                 low = [v for op, v in bounds[a] if op == ">"]
                 high = [v for op, v in bounds[a] if op == "<="]
                 same = [v for op, v in bounds[a] if op == "="]
-                parts += [f"{a} > {max(low):g}"] * bool(low) + [f"{a} <= {min(high):g}"] * bool(high)
+                parts += [f"{a} > {max(low):g}"] if low else []
+                parts += [f"{a} <= {min(high):g}"] if high else []
                 parts += [f"{a} = {same[0]}"] if same else [f"{a} != {v}" for v in sorted(v for op, v in bounds[a] if op == "!=")]
             out.append((leaf, " and ".join(parts), self.decide(self.nodes[leaf])[0]))
         return out
