@@ -4,16 +4,16 @@ A window is ``width`` consecutive words. Documents come in batches, in order of
 over it also starts earlier, in history or in the batch.
 
 - Every window selects one of the grams of ``gram`` words in it, the one with the smallest hash (the rightmost of equals). Equal
-  windows select equal grams, so the selected grams of a text, about one in seven, stand for all its windows.
-- The index is a list of immutable runs: Parquet tables, bucketed and sorted by gram hash, of (hash, doc_id, place,
-  from, to): a selected gram and the window starts that selected it. A new batch is merge-joined with every run by hash;
-  grams met again, and those repeated in the batch, are candidates.
-- Candidates are verified on the texts: the windows that selected them are hashed as wholes (128 bits from two
-  independent word hashes), and equal windows are ordered by document and place.
-- The batch's grams whose windows are not all repeats become a new run. Windows seen before are not indexed again, so the
-  index grows with distinct text. When there are ``fanout`` runs, they are compacted into one.
-
-A hot window is one row for each map task before its shuffle, and joins that meet it can be split by adaptive
+  windows select equal grams, so the selected grams of a text, about one in seven, stand for all its windows. The windows that
+  select one gram are consecutive; the words under them are the gram's context.
+- The index is a list of immutable runs: Parquet tables, bucketed and sorted by hash, of (h, c, pos, n): hash of a gram, hash of its
+  context, where it was first (document and first window), and how many windows it has. A new batch's contexts are merge-joined with the runs.
+- A context met before is a repeat with all its windows. A gram met before in another context may share some windows: those contexts
+  are verified on the texts, window by window, with 128-bit hashes from two independent word hashes.
+- The batch's new contexts become a run; contexts seen before are not indexed again, so the index grows with distinct
+  text. When there are ``fanout`` runs, they are compacted into one before the next batch.
+
+A hot context is one row for each map task before its shuffle, and joins that meet it can be split by adaptive
 execution; no group of documents is gathered in one place except a single document's own places.
 """
 
@@ -32,6 +32,8 @@ from .common import arrow_map, scratch_dir, shuffle_partitions, split_words, sto
 WIDTH, GRAM, BATCHES, FANOUT = 20, 8, 3, 2
 #: Most words in a worker's memo of hashes; a full memo is emptied.
 MEMO = 500_000
+#: A position is its document's id times 2**24 plus the place of a window's first word; a span is a place times 256 plus its number of windows.
+PLACES, SPAN = 24, 256
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -65,99 +67,122 @@ def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
     return mixed(out)
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_M1 to the powers 0..n, and their inverses modulo 2**64."""
+    inverse = np.uint64(pow(int(_M1), -1, 1 << 64))
+    up, down = np.full(n + 1, _M1), np.full(n + 1, inverse)
+    up[0] = down[0] = np.uint64(1)
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
 def selected(words: list[bytes], width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(hash, place, from, to) of the grams that the windows select; to is the last window start."""
+    """(gram hash, context hash, first window, number of windows) of the grams that the windows select."""
     h = np.fromiter(map(_FIRST.__getitem__, words), np.uint64, len(words))
     grams = rolled(h, gram)
     span = width - gram + 1
     view = np.lib.stride_tricks.sliding_window_view(grams, span)
     place = span - 1 - np.argmin(view[:, ::-1], axis=1) + np.arange(len(view))
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    last = np.concatenate([first[1:], [len(place)]]) - 1
-    return grams[place[first]], place[first], first, last
+    n = np.diff(np.append(first, len(place)))
+    other = np.fromiter(map(_SECOND.__getitem__, words), np.uint64, len(words))
+    up, down = powers(len(words))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(other * up[:-1], dtype=np.uint64)])
+    context = (sums[first + n + width - 1] - sums[first]) * down[first] + n.astype(np.uint64) * _M2
+    return grams[place[first]], mixed(context), first, n
 
 
-def gram_rows(id_col_type: str, width: int, gram: int):
+def gram_rows(width: int, gram: int):
     def run(batches):
         for batch in batches:
             parts: list[list[np.ndarray]] = [[], [], [], []]
-            ids, counts = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = split_words(text)
-                if len(words) < width or doc is None:
+                if len(words) < width:
                     continue
-                got = selected(words, width, gram)
-                for p, g in zip(parts, got, strict=True):
-                    p.append(g)
-                ids.append(doc)
-                counts.append(len(got[0]))
-            if not ids:
-                continue
-            h, place, first, last = (np.concatenate(p) for p in parts)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), counts)), pa.array(place.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["h", "doc", "place", "lo", "hi"])
+                if abs(doc) >= 1 << (62 - PLACES) or len(words) >= 1 << PLACES:
+                    raise ValueError(f"id {doc} or its text is too large for positions")
+                h, c, first, n = selected(words, width, gram)
+                for p, x in zip(parts, (h, c, (doc << PLACES) + first, n), strict=True):
+                    p.append(x)
+            if parts[0]:
+                h, c, pos, n = (np.concatenate(p) for p in parts)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(pos), pa.array(n.astype(np.int32))], names=["h", "c", "pos", "n"])
 
     return run
 
 
 def window_rows(width: int):
-    """From batches (doc, text, spans) to rows (w1, w2, doc, at): the whole windows that start in the spans."""
+    """From batches (doc, text, spans) to rows (w1, w2, pos): the whole windows of the spans."""
 
     def run(batches):
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for doc, text, los, his in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            out: list[list[np.ndarray]] = [[], [], []]
+            for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = split_words(text)
-                n = len(words) - width + 1
-                if n < 1:
+                if len(words) < width:
                     continue
-                want = np.zeros(n + 1, np.int32)
-                np.add.at(want, np.array(los), 1)
-                np.add.at(want, np.array(his) + 1, -1)
-                at = np.flatnonzero(np.cumsum(want[:-1]) > 0)
+                at = np.flatnonzero(covered(spans.values.to_numpy(), len(words) - width + 1, 0))
                 for k, memo in enumerate((_FIRST, _SECOND)):
                     out[k].append(rolled(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), width)[at])
-                out[2].append(np.full(len(at), doc, np.int64))
-                out[3].append(at.astype(np.int32))
+                out[2].append((doc << PLACES) + at)
             if out[0]:
-                w1, w2, doc, at = (np.concatenate(p) for p in out)
-                yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(doc), pa.array(at)], names=["w1", "w2", "doc", "at"])
+                w1, w2, pos = (np.concatenate(p) for p in out)
+                yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(pos.astype(np.int64))], names=["w1", "w2", "pos"])
 
     return run
 
 
+def covered(spans: np.ndarray, n: int, more: int) -> np.ndarray:
+    """Which of n places are in a span, each span reaching ``more`` places further."""
+    lo, count = spans // SPAN, spans % SPAN
+    edges = np.zeros(n + 1, np.int32)
+    np.add.at(edges, np.minimum(lo, n), 1)
+    np.add.at(edges, np.minimum(lo + count + more, n), -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
 def cut_rows(width: int, names: list[str]):
-    """From batches (id, text, places) to (id, n_words, n_removed, kept_text): words under the windows at places go."""
+    """From batches (id, text, spans) to (id, n_words, n_removed, kept_text): words under the spans' windows go."""
 
     def run(batches):
         for batch in batches:
             n_words, n_removed, kept = [], [], []
-            for text, places in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = split_words(text)
                 n_words.append(len(words))
-                if places.is_valid and len(places):
-                    cover = np.zeros(len(words) + 1, np.int32)
-                    at = np.unique(places.values.to_numpy())
-                    cover[at] += 1
-                    cover[at + width] -= 1
-                    gone = np.cumsum(cover[:-1]) > 0
-                    n_removed.append(int(gone.sum()))
-                    words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                else:
-                    n_removed.append(0)
+                gone = 0
+                if spans.is_valid and len(spans):
+                    cover = covered(spans.values.to_numpy(), len(words), width - 1)
+                    gone = int(cover.sum())
+                    words = [w for w, g in zip(words, cover.tolist(), strict=True) if not g]
+                n_removed.append(gone)
                 kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=names)
 
     return run
 
 
+def own_key(*columns: str):
+    """Copies of key columns that the planner does not know to be partitioned alike: the join then gets an exchange on this
+    side too, and adaptive execution can split a hot key."""
+    return [F.col(c).bitwiseXOR(F.lit(0)).alias("k_" + c) for c in columns]
+
+
+def by_document(spans: DataFrame) -> DataFrame:
+    """(d, spans) from rows (pos, n)."""
+    packed = (F.col("pos").bitwiseAND(F.lit((1 << PLACES) - 1)) * SPAN + F.col("n")).alias("span")
+    return spans.select(F.shiftright("pos", PLACES).alias("d"), packed).groupBy("d").agg(F.collect_list("span").alias("spans"))
+
+
 class FingerprintIndex:
-    """Runs of selected grams; add() dedups a batch against them and indexes it."""
+    """Runs of contexts; add() dedups a batch against them and indexes it."""
 
     def __init__(self, spark, width: int = WIDTH, gram: int = GRAM, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.width, self.gram, self.fanout = spark, width, gram, max(2, fanout)
+        if width - gram + 1 >= SPAN:
+            raise ValueError("a gram must be nearly as long as a window, for wide windows")
         self.buckets = buckets or shuffle_partitions(spark)
         self.runs: list[str] = []
-        self.batches: list[DataFrame] = []
         scratch_dir(spark)
 
     def _write_run(self, rows: DataFrame) -> str:
@@ -180,41 +205,41 @@ class FingerprintIndex:
         return out
 
     def add(self, docs: DataFrame, history_docs: DataFrame | None = None) -> DataFrame:
-        """Repeated windows of a batch: (doc, places array<int>). docs has doc and text, with ids over all earlier
-        ones; history_docs has the texts of earlier batches, of which only those with candidates are read again."""
-        grams = stored(arrow_map(docs, gram_rows("long", self.width, self.gram), "h long, doc long, place int, lo int, hi int"), "grams")
-        counts = grams.groupBy("h").agg(F.count("*").alias("n"))
-        met = counts.where("n > 1").select("h")
-        for name in self.runs:
-            met = met.union(counts.select("h").join(self.spark.table(name).select("h").hint("merge"), "h", "left_semi"))
-        met = stored((met.distinct() if self.runs else met).select(F.col("h").alias("k")), "met")
-        wanted = grams.join(met.hint("merge"), F.col("h") == F.col("k"), "left_semi").select("doc", "lo", "hi")
+        """Repeated windows of a batch: (doc, spans array<long>). docs has doc and text, with ids over all earlier
+        ones; history_docs has the texts of earlier batches, of which only those with shared grams are read again."""
+        if len(self.runs) >= self.fanout:
+            self.compact()
+        grams = stored(arrow_map(docs, gram_rows(self.width, self.gram), "h long, c long, pos long, n int"), "grams")
+        contexts = grams.groupBy("h", "c").agg(F.min("pos").alias("pos"), F.min("n").alias("n"), F.count("*").alias("times"))
+        history = self._history() if self.runs else None
+        if history is not None:
+            old = history.select(F.col("h").alias("k_h"), F.col("c").alias("k_c"), F.lit(True).alias("old"))
+            contexts = contexts.join(old.hint("merge"), (F.col("h") == F.col("k_h")) & (F.col("c") == F.col("k_c")), "left").drop("k_h", "k_c")
+        else:
+            contexts = contexts.withColumn("old", F.lit(None).cast("boolean"))
+        contexts = stored(contexts, "contexts")
+        own = self._write_run(contexts.where("old is null").select("h", "c", "pos", "n"))
+        run = self.spark.table(own)
+        again = contexts.where("old or times > 1").select(*own_key("h", "c"), F.when(F.col("old"), F.lit(None)).otherwise(F.col("pos")).cast("long").alias("first"))
+        repeats = grams.join(again.hint("merge"), (F.col("h") == F.col("k_h")) & (F.col("c") == F.col("k_c"))).where("first is null or pos > first").select("pos", "n")
+        shared = run.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select(F.col("h").alias("k"))
+        if history is not None:
+            shared = shared.union(run.select("h").join(history.select(F.col("h").alias("k")).hint("merge"), F.col("h") == F.col("k"), "left_semi").select("h")).distinct()
+        shared = stored(shared, "shared")
+        unsure = run.join(shared.hint("merge"), F.col("h") == F.col("k"), "left_semi").select("pos", "n")
         texts = docs
-        if self.runs and history_docs is not None:
-            for name in self.runs:
-                wanted = wanted.union(self.spark.table(name).join(met.hint("merge"), F.col("h") == F.col("k"), "left_semi").select("doc", "lo", "hi"))
+        if history is not None and history_docs is not None:
+            unsure = unsure.union(history.join(shared.hint("merge"), F.col("h") == F.col("k"), "left_semi").select("pos", "n"))
             texts = docs.unionByName(history_docs)
-        spans = wanted.groupBy("doc").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his")).withColumnRenamed("doc", "d")
-        windows = arrow_map(texts.join(spans, F.col("doc") == F.col("d")).select("doc", "text", "los", "his"), window_rows(self.width), "w1 long, w2 long, doc long, at int")
+        windows = arrow_map(texts.join(by_document(unsure), F.col("doc") == F.col("d")).select("doc", "text", "spans"), window_rows(self.width), "w1 long, w2 long, pos long")
         windows = stored(windows, "windows")
-        first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        first = first.select((F.col("w1").bitwiseXOR(F.lit(0))).alias("k1"), (F.col("w2").bitwiseXOR(F.lit(0))).alias("k2"), "first")
-        again = windows.join(first.hint("merge"), (F.col("w1") == F.col("k1")) & (F.col("w2") == F.col("k2"))).where("doc > first.doc or (doc = first.doc and at > first.at)")
-        if self.runs:
-            lowest = docs.agg(F.min("doc")).first()[0]
-            again = again.where(F.col("doc") >= F.lit(lowest)) if lowest is not None else again
-        places = stored(again.groupBy("doc").agg(F.sort_array(F.collect_list("at")).alias("places")), "places")
-        self._index(grams, places)
-        return places
-
-    def _index(self, grams: DataFrame, places: DataFrame) -> None:
-        """Keeps the batch's run without the grams all of whose windows are repeats."""
-        p = places.withColumnRenamed("doc", "d")
-        known = F.size(F.filter("places", lambda x: (x >= F.col("lo")) & (x <= F.col("hi"))))
-        spans = grams.join(p, F.col("doc") == F.col("d"), "left").where(F.col("places").isNull() | (known < F.col("hi") - F.col("lo") + 1))
-        self.runs.append(self._write_run(spans.select("h", "doc", "place", "lo", "hi")))
-        if len(self.runs) >= self.fanout:
-            self.compact()
+        first = windows.groupBy("w1", "w2").agg(F.min("pos").alias("first"), F.count("*").alias("times")).where("times > 1").select(*own_key("w1", "w2"), "first")
+        later = windows.join(first.hint("merge"), (F.col("w1") == F.col("k_w1")) & (F.col("w2") == F.col("k_w2"))).where("pos > first").select("pos", F.lit(1).alias("n"))
+        lowest = docs.agg(F.min("doc")).first()[0] if history is not None else None
+        if lowest is not None:
+            later = later.where(F.col("pos") >= F.lit(lowest << PLACES))
+        self.runs.append(own)
+        return stored(by_document(repeats.union(later)).withColumnRenamed("d", "doc"), "spans")
 
     def close(self) -> None:
         for name in self.runs:
@@ -228,7 +253,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     are judged on the input. kept_text has the kept words joined by one space.
 
     The rows are taken in ``batches`` of about equal size by id, through one index. Ids are integers and unique; rows with a
-    null id are carried whole and are not indexed. Null, empty and shorter texts lose nothing."""
+    null id are carried whole and are not indexed. Ids are under 2**38 and texts under 2**24 words; others raise. Null, empty and shorter texts lose nothing."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     index = FingerprintIndex(spark, width, gram, fanout)
@@ -246,5 +271,5 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     index.close()
     p = places.withColumnRenamed("doc", "d")
     kind = docs.schema[id_col].dataType.simpleString()
-    joined = docs.select(id_col, text_col).join(p, F.col(id_col) == F.col("d"), "left").select(id_col, text_col, "places")
+    joined = docs.select(id_col, text_col).join(p, F.col(id_col) == F.col("d"), "left").select(id_col, text_col, "spans")
     return arrow_map(joined, cut_rows(width, [id_col, "n_words", "n_removed", "kept_text"]), f"`{id_col}` {kind}, n_words long, n_removed long, kept_text string")
