@@ -16,69 +16,89 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, let, words_of
+from .common import let, words_of
 
 #: Phrases of boilerplate, lower case.
 BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use of cookies", "enable javascript",
     "lorem ipsum", "licensed under", "sign up", "log in", "click here", "subscribe to", "copyright ©", "©",
 )
-SYMBOLS = "#*$%&|<>"
-CLOSED = r"[.!?…。！？:;][\x22'”’»)\]]*$"
-SENTENCES = r"[.!?…。！？] [^\n]*[.!?…。！？] "
+SYMBOLS = r"[#*$%&|<>]+"
+BLANK = r"[\x20\x09-\x0D]"
+CLOSED = rf"[.!?…。！？:;][\x22'”’»)\]]*{BLANK}*\z"
+SENTENCES = rf"[.!?…。！？]{BLANK}[^\n]*[.!?…。！？]{BLANK}"
 MARKS = r"[^\p{L}\p{N}\s]{2}"
-SEPARATORS = ("|", "»", "›", "•", "·", ">", "/", "::")
+SEPARATOR = r"([|»›•·>/]|::)"
+NAVIGATION = rf"(^|{BLANK}){SEPARATOR}{BLANK}([^\n]*{BLANK})?{SEPARATOR}({BLANK}|\z)"
+#: Most different repeated hashes that are looked up one by one; texts with more have all windows sorted.
+LOOK_UP = 2000
 
 
-def without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def n_word_chars(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, BLANK + "+", ""))
+
+
+def has_word(line: Column) -> Column:
+    return F.rlike(line, F.lit(r"[^\x20\x09-\x0D]"))
 
 
 def word_counts(text: Column) -> dict[str, Column]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text column without nulls."""
-    lines = F.filter(F.split(text, "\n"), lambda x: without(x, SPACE_CHARS) != "")
+    lines = F.filter(F.split(text, "\n"), has_word)
     return {
-        "n_words": F.size(words_of(text)).cast("long"),
-        "word_chars": F.length(without(text, SPACE_CHARS)).cast("long"),
-        "n_symbols": (F.length(text) - F.length(without(text, SYMBOLS))).cast("long"),
+        "_words": let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.concat_ws("", w)).cast("long").alias("chars"), repeat_words(w).cast("long").alias("repeat"))),
+        "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeat_words(text).cast("long"),
+        "n_words": F.col("_words.n"),
+        "word_chars": F.col("_words.chars"),
+        "n_repeat_words": F.col("_words.repeat"),
     }
 
 
-def repeat_words(text: Column) -> Column:
-    """Words inside a 3-word window that is found twice or more in the text, first included.
-
-    Texts whose windows are all different (a hash set tells) are done at once. In the others the windows are
-    sorted with their places; those equal to a neighbour are the repeated ones. Each repeated place covers
-    three words, less what the place before it covers already."""
+def repeat_words(words: Column) -> Column:
+    """Words inside a 3-word window that is found twice or more among the words, first included.
 
-    def windows(w: Column) -> Column:
-        return F.when(F.size(w) < 3, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.concat_ws(" ", w[i], w[i + 1], w[i + 2])))
+    Windows are hashed; where all hashes differ (a hash set tells) there are none. Otherwise the windows whose hash
+    comes again are compared as strings: sorted with their places, those equal to a neighbour are repeated. Each
+    repeated place covers three words, less what the place before it covers already."""
 
     def covered(places: Column) -> Column:
         gaps = F.zip_with(places, F.slice(places, 2, F.greatest(F.size(places), F.lit(1))), lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3)))
         return F.aggregate(gaps, F.lit(0), lambda s, x: s + x)
 
-    def repeated(t: Column) -> Column:
-        pairs = F.array_sort(F.transform(t, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-        return let(pairs, lambda s: covered(F.array_sort(F.transform(F.filter(F.transform(s, lambda p, k: F.struct(p["i"].alias("i"), ((p["x"] == F.coalesce(F.get(s, k - 1)["x"], F.lit(""))) | (p["x"] == F.coalesce(F.get(s, k + 1)["x"], F.lit("")))).alias("twice"))), lambda q: q["twice"]), lambda q: q["i"]))))
+    def repeated(places: Column) -> Column:
+        pairs = F.array_sort(F.transform(places, lambda i: F.struct(F.concat_ws(" ", words[i], words[i + 1], words[i + 2]).alias("x"), i.alias("i"))))
+
+        def same(s: Column, p: Column, k: Column) -> Column:
+            return F.coalesce(p["x"] == F.get(s, k)["x"], F.lit(False))
+
+        def twice(s: Column) -> Column:
+            return F.filter(F.transform(s, lambda p, k: F.when(same(s, p, k - 1) | same(s, p, k + 1), p["i"])), lambda i: i.isNotNull())
 
-    return let(words_of(text), lambda w: let(windows(w), lambda t: F.when(F.size(F.array_distinct(t)) == F.size(t), F.lit(0)).otherwise(repeated(t))))
+        return let(pairs, lambda s: covered(F.array_sort(twice(s))))
+
+    def among(h: Column) -> Column:
+        again = let(F.array_sort(h), lambda s: F.array_distinct(F.filter(s, lambda x, k: (k > 0) & (x == F.coalesce(F.get(s, k - 1), x - 1)))))
+        places = F.sequence(F.lit(0), F.size(h) - 1)
+        return let(again, lambda d: repeated(F.when(F.size(d) > LOOK_UP, places).otherwise(F.filter(places, lambda i: F.array_contains(d, h[i])))))
+
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2]))
+    found = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(among(h)))
+    return F.when(F.size(words) < 3, F.lit(0)).otherwise(found)
 
 
 def line_fails(line: Column, max_symbol_runs: float) -> Column:
     """True for a line that has a word and breaks a rule."""
-    low = F.lower(line)
-    flat = F.rtrim(F.translate(line, SPACE_CHARS, " " * len(SPACE_CHARS)))
-    closed = F.rlike(flat, F.lit(CLOSED)) | F.rlike(flat, F.lit(SENTENCES))
-    words = words_of(line)
-    noisy = let(words, lambda w: F.size(F.filter(w, lambda x: F.rlike(x, F.lit(MARKS)))) > max_symbol_runs * F.size(w))
-    navigation = F.size(F.filter(words, lambda x: x.isin(*SEPARATORS))) >= 2
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate = boilerplate | F.contains(low, F.lit(phrase))
-    return (flat != "") & (~closed | noisy | navigation | boilerplate)
+    open_end = ~(F.rlike(line, F.lit(CLOSED)) | F.rlike(line, F.lit(SENTENCES)))
+    noisy = F.rlike(line, F.lit(MARKS)) & let(words_of(line), lambda w: F.size(F.filter(w, lambda x: F.rlike(x, F.lit(MARKS)))) > max_symbol_runs * F.size(w))
+
+    def boilerplate(low: Column) -> Column:
+        found = F.contains(low, F.lit(BOILERPLATE[0]))
+        for phrase in BOILERPLATE[1:]:
+            found = found | F.contains(low, F.lit(phrase))
+        return found
+
+    return has_word(line) & (open_end | noisy | F.rlike(line, F.lit(NAVIGATION)) | let(F.lower(line), boilerplate))
 
 
 def clean_lines(docs: DataFrame, text_col: str = "text", max_loss: float = 0.5, max_symbol_runs: float = 0.3, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
@@ -89,12 +109,14 @@ def clean_lines(docs: DataFrame, text_col: str = "text", max_loss: float = 0.5,
     not base_failed, and lost_share at most max_loss. Null and empty texts have no words and fail. Columns of
     docs with names of added ones are replaced; rows are judged one by one, so order and repeats don't matter."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumns(word_counts(text))
-    kept_lines = F.filter(F.split(text, "\n"), lambda x: ~line_fails(x, max_symbol_runs))
-    out = out.withColumn("_lines", F.struct(F.concat_ws("\n", kept_lines).alias("text"), F.size(kept_lines).alias("n")))
-    out = out.withColumns({"clean_text": F.col("_lines.text"), "n_lines_removed": (F.size(F.split(text, "\n")) - F.col("_lines.n")).cast("long")}).drop("_lines")
-    lost = F.col("word_chars") - F.length(without(F.col("clean_text"), SPACE_CHARS))
-    out = out.withColumn("lost_share", F.when(F.col("word_chars") > 0, lost / F.col("word_chars")).otherwise(0.0))
+    out = docs
+    for name, column in word_counts(text).items():
+        out = out.withColumn(name, column)
+    lines = F.split(text, "\n")
+    failing = F.filter(lines, lambda x: line_fails(x, max_symbol_runs))
+    out = out.withColumn("_failing", let(failing, lambda x: F.struct(F.size(x).cast("long").alias("n"), n_word_chars(F.concat_ws(" ", x)).alias("chars"))))
+    out = out.withColumns({"clean_text": F.concat_ws("\n", F.filter(lines, lambda x: ~line_fails(x, max_symbol_runs))), "n_lines_removed": F.col("_failing.n")})
+    out = out.withColumn("lost_share", F.when(F.col("word_chars") > 0, F.col("_failing.chars") / F.col("word_chars")).otherwise(0.0)).drop("_words", "_failing")
     out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= max_loss))
 

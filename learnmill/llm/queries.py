@@ -56,7 +56,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_decontamination, op4_simhash, op5_url_filters, op6_bpe, op7_line_dedup, op8_token_counts, op9_toxicity, op10_substring_dedup)}
 
 _PHRASES = " OR ".join(f"contains(lower(line), '{p}')" for p in quality.BOILERPLATE)
-_SEPARATORS = ", ".join(f"'{s}'" for s in quality.SEPARATORS)
+_SQL_CLOSED = quality.CLOSED.replace("'", "''")
 _WS = r"[\x20\x09-\x0D]"
 
 ORACLE_SQL = {
@@ -86,14 +86,14 @@ twice AS (
 repeated AS (
   SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
 lines AS (
-  SELECT doc_id, line, rtrim(regexp_replace(line, '{_WS}', ' ', 'g'), ' ') AS flat, list_filter(string_split_regex(line, '{_WS}+'), lambda w: w <> '') AS lw
+  SELECT doc_id, line, list_filter(string_split_regex(line, '{_WS}+'), lambda w: w <> '') AS lw
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)),
 judged AS (
   SELECT doc_id, length(regexp_replace(line, '{_WS}', '', 'g')) AS n,
-         NOT (regexp_matches(flat, '[.!?…。！？:;][\x22''”’»)\]]*$') OR regexp_matches(flat, '[.!?…。！？] [^\n]*[.!?…。！？] '))
-         OR len(list_filter(lw, lambda x: regexp_matches(x, '[^\p{{L}}\p{{N}}\s]{{2}}'))) > 0.3 * len(lw)
-         OR len(list_filter(lw, lambda x: x IN ({_SEPARATORS}))) >= 2 OR {_PHRASES} AS fails, line
-  FROM lines WHERE flat <> ''),
+         NOT (regexp_matches(line, '{_SQL_CLOSED}') OR regexp_matches(line, '{quality.SENTENCES}'))
+         OR len(list_filter(lw, lambda x: regexp_matches(x, '{quality.MARKS}'))) > 0.3 * len(lw)
+         OR regexp_matches(line, '{quality.NAVIGATION}') OR {_PHRASES} AS fails, line
+  FROM lines WHERE len(lw) > 0),
 by_doc AS (
   SELECT doc_id, sum(n) AS all_chars, coalesce(sum(n) FILTER (fails), 0) AS lost, count(*) - count(DISTINCT line) AS n_dup_lines FROM judged GROUP BY doc_id),
 counted AS (
