@@ -17,6 +17,8 @@ documents. Documents are not shuffled or collected; what is found is one row for
 
 from __future__ import annotations
 
+from itertools import chain, repeat
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 SIMILARITY, WALKS, SAMPLES, PLACES, MIN_WORDS, BLOCK_BYTES = 0.8, 6, 10, 3, 5, 4_000_000
+#: Texts that are screened together.
+AT_ONCE = 200
 _MARKS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b"abcdefghijklmnopqrstuvwxyz" + b" " * 32)
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -132,35 +136,59 @@ class BenchmarkIndex:
             key ^= key >> np.uint64(29)
         return key.reshape(self.walks * self.samples, -1)
 
-    def find(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(item_id, edits, place of the passage's last word) for each item that leaks into the text."""
-        words = words_of(text)
-        if len(words) < 2 or not self.items:
+    def runs_at(self, ids: np.ndarray, k: int) -> np.ndarray:
+        """Places where k words in a row are a run of an item (k is 2 or 3)."""
+        known = ids > 0
+        both = known[: len(ids) - k + 1].copy()
+        for i in range(1, k):
+            both &= known[i : len(ids) - k + 1 + i]
+        at = np.flatnonzero(both)
+        of_items, run = self.runs[k - 2], self.as_number([ids[at + i] for i in range(k)])
+        return at[of_items[np.minimum(np.searchsorted(of_items, run), len(of_items) - 1)] == run] if len(at) else at
+
+    def find_many(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
+        """(number of the text, item_id, edits, last word) of all leaks. The texts are screened together."""
+        if not self.items:
             return []
-        ids = np.fromiter(map(self.number.get, words, (0 for _ in words)), np.int64, len(words))
-        sums = []
-        for k, fewest, of_items in zip((2, 3), self.fewest, self.runs, strict=True):
-            at = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(ids > 0, k).all(axis=1)) if len(ids) >= k else np.zeros(0, np.int64)
-            run = self.as_number([ids[at + i] for i in range(k)]) if len(at) else at
-            at = at[of_items[np.minimum(np.searchsorted(of_items, run), len(of_items) - 1)] == run]
-            if len(at) < fewest:
-                return []
+        words = [words_of(t) for t in texts]
+        sizes = np.array([len(w) + 3 for w in words])  # three gaps keep runs apart
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        gap = [b""] * 3
+        ids = np.fromiter(map(self.number.get, chain.from_iterable(chain(w, gap) for w in words), repeat(0)), np.int64, starts[-1])
+        enough = np.ones(len(texts), bool)
+        for k, fewest in zip((3, 2), self.fewest[::-1], strict=True):
+            hits = np.bincount(np.searchsorted(starts, self.runs_at(ids, k), "right") - 1, minlength=len(texts))
+            enough &= hits >= fewest
+        return [(i, *found) for i in np.flatnonzero(enough).tolist() for found in self.find(ids[starts[i] : starts[i + 1] - 3])]
+
+    def find(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item_id, edits, place of the passage's last word) for each item that leaks into a text of these words."""
+        sums, hits = [], []
+        for k in (2, 3):
             flags = np.zeros(len(ids) + 1, np.int64)
-            flags[at + 1] = 1
+            hits.append(self.runs_at(ids, k) if len(ids) >= k else np.zeros(0, np.int64))
+            flags[hits[-1] + 1] = 1
             sums.append(np.cumsum(flags))  # at i: runs that start before i
         seen: dict[int, set[int]] = {}
         wanted: dict[int, np.ndarray] = {}
         longest = max(allowed(n, self.similarity) for n in self.sizes)
         # a window may hang over either end of the text by as many words as may be missing
         padded = np.concatenate([np.zeros(longest, np.int64), ids, np.zeros(longest, np.int64)])
+        region = np.arange(-longest, len(ids) + longest)
+        if any(self.fewest):  # only windows with a run of the items in them can pass
+            of = hits[1] if self.fewest[1] else hits[0]
+            edges = np.zeros(len(region) + 1, np.int64)
+            np.add.at(edges, np.maximum(of - self.sizes[-1] + longest, 0), 1)
+            np.add.at(edges, of + longest + 1, -1)
+            region = region[np.cumsum(edges[:-1]) > 0]
         for n in self.sizes:
             d = allowed(n, self.similarity)
-            at = np.arange(-d, len(ids) + d - n + 1)
+            at = region[(region >= -d) & (region <= len(ids) + d - n)]
             if not len(at):
                 continue
-            lo, near = np.clip(at, 0, len(ids)), np.ones(len(at), bool)
+            lo, near = np.minimum(np.maximum(at, 0), len(ids)), np.ones(len(at), bool)
             for k, need, sum_of in zip((2, 3), self.needed(n), sums, strict=True):
-                near &= sum_of[np.clip(at + n - k + 1, 0, len(ids))] - sum_of[lo] >= need
+                near &= sum_of[np.minimum(np.maximum(at + n - k + 1, 0), len(ids))] - sum_of[lo] >= need
             if near.any():
                 wanted[n] = at[near]
         if not wanted:
@@ -174,10 +202,13 @@ class BenchmarkIndex:
                 if not len(own):
                     continue
                 keys = self.keys(embedded[:, :, np.searchsorted(some, own)], n)
-                lo, hi = np.searchsorted(self.keys_of, keys, "left"), np.searchsorted(self.keys_of, keys, "right")
-                for row, column in zip(*np.nonzero(hi > lo), strict=True):
-                    for k in self.own[lo[row, column] : hi[row, column]].tolist():
-                        seen.setdefault(k, set()).add(int(own[column]))
+                lo = np.minimum(np.searchsorted(self.keys_of, keys, "left"), len(self.keys_of) - 1)
+                row, column = np.nonzero(self.keys_of[lo] == keys)
+                first = lo[row, column]
+                last = np.searchsorted(self.keys_of, keys[row, column], "right")
+                for a, z, start in set(zip(first.tolist(), last.tolist(), own[column].tolist(), strict=True)):
+                    for k in self.own[a:z].tolist():
+                        seen.setdefault(k, set()).add(start)
         out = []
         for k, places in seen.items():
             item_id, item = self.items[k]
@@ -230,7 +261,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         def run(batches, shared=shared):
             index = BenchmarkIndex(shared.value, **how)
             for batch in batches:
-                found = [(doc, *f) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for f in index.find(text)]
+                docs, found = batch.column(0).to_pylist(), []
+                for at in range(0, len(docs), AT_ONCE):
+                    found += [(docs[at + i], *f) for i, *f in index.find_many(batch.column(1).slice(at, AT_ONCE).to_pylist())]
                 columns = list(zip(*found, strict=True)) or [[], [], [], []]
                 kinds = [batch.schema.field(0).type, pa.int64() if item_kind == "bigint" else None, pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[id_col, "item_id", "edits", "last_word"])
