@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from learnmill.llm import bpe, decontaminate, fpindex, html, linededup, quality, simhash, tokencount, toxicity, urls
+from learnmill.llm import bpe, decontaminate, fpindex, html, linededup, neardup, quality, simhash, tokencount, toxicity, urls
 from learnmill.llm.common import Forest, connected_components
 
 SCHEMA = "doc_id long, text string, lang string, n long, k string, h string, count long"
@@ -94,6 +94,33 @@ def test_blocks_of_a_hot_cell_lose_no_link(spark):
     assert whole == parts and len({c for _, c in whole}) == 2
 
 
+def test_pipeline_stage_drops_edited_near_copies(spark):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    base = [prose(r, n, 5000) for n in (60, 150, 150, 300, 300, 600) * 5]
+    near = []
+    for t in base:
+        w = t.split()
+        for _ in range(max(1, len(w) // 100)):
+            w[r.randrange(len(w))] = "changed"
+        near.append(" ".join(w))
+    far = [" ".join(x for w in t.split() for x in ([w, "new"] if r.random() < 0.1 else [w])) for t in base[:5]]
+    texts = [*AWKWARD, *base, *near, *far, base[0] + "  ", base[3].upper()]
+    sets = [set(neardup.shingle_set(t).tolist()) for t in texts]
+    forest = Forest(len(texts))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                forest.join(i, j)
+    want = [i for i in range(len(texts)) if forest.find(i) == i]
+    d = docs(spark, texts).unionByName(docs(spark, [base[0]], [None]))
+    for kept in (corpus_pipeline.drop_near_copies(spark, d, ""), neardup.keep_one(d, block=2)):
+        got = [x["doc_id"] for x in kept.collect()]
+        assert sorted(i for i in got if i is not None) == want and got.count(None) == 1
+    assert len(want) < len(texts) - 25 and neardup.keep_one(docs(spark, [])).count() == 0
+
+
 def test_substring_dedup_matches_brute_force(spark):
     r = random.Random(2)
     shared = prose(r, 45)
