@@ -277,17 +277,20 @@ def svm_kernel_score(spark, sf_dir):
     return kernel.kernel_score(v.select("id", "v"), "v", s, 0.1, 0.5).select("id", rounded(F.col("score")).alias("score"))
 
 
-def _user_sample(spark, sf_dir, n=200):
-    """A bounded training set of the sequential solvers: at most n users, those with the smallest ids; label by the sign of x."""
-    rows = user_points(spark, sf_dir).orderBy("id").limit(n).collect()
-    x = np.array([[r["x"], r["y"]] for r in rows])
-    return x, np.where(x[:, 0] + 0.3 * x[:, 1] > 0, 1.0, -1.0)
+def _all_users(spark, sf_dir):
+    """(id, x, y) of every user, by id, as the training set of the sequential solvers; over ``kernel.MOST_ROWS`` users raise. y is a label by x."""
+    got = kernel.bounded(user_points(spark, sf_dir), ["id", *XY], exact=("id",))
+    order = got["id"].argsort()
+    x = np.stack([got[c][order] for c in XY], 1)
+    if np.isnan(x).any():
+        raise ValueError("a user has no mean or spread")
+    return got["id"][order], x, np.where(x[:, 0] + 0.3 * x[:, 1] > 0, 1.0, -1.0)
 
 
 @query()
 def smo_fit(spark, sf_dir):
-    """SMO on a bounded sample; every user is scored."""
-    x, y = _user_sample(spark, sf_dir)
+    """SMO on all users; every user is scored."""
+    _, x, y = _all_users(spark, sf_dir)
     m = kernel.smo(kernel.kernel_matrix(x, x, 0.5), y, 1.0)
     s = spark.createDataFrame([([float(a), float(b)], float(c)) for (a, b), c in zip(x, m.alpha * y, strict=True) if abs(c) > 1e-12], "v array<double>, coef double")
     rows = user_points(spark, sf_dir).select("id", F.array("x", "y").alias("v"))
@@ -296,23 +299,24 @@ def smo_fit(spark, sf_dir):
 
 @query()
 def multisvm_fit(spark, sf_dir):
-    x, _ = _user_sample(spark, sf_dir)
+    """The multi-class dual on all users, with a prediction for every user."""
+    ids, x, _ = _all_users(spark, sf_dir)
     y = (x[:, 0] > 0).astype(int) + (x[:, 1] > 0).astype(int)
     k = kernel.kernel_matrix(x, x, 0.5)
     label = (k @ kernel.multi_class_dual(k, y, 3)).argmax(1)
-    return spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(y, label, strict=True))], "row long, label long, predicted long")
+    return spark.createDataFrame([(int(i), int(a), int(b)) for i, a, b in zip(ids, y, label, strict=True)], "id long, label long, predicted long")
 
 
 @query()
 def cddual_fit(spark, sf_dir):
-    x, y = _user_sample(spark, sf_dir)
+    _, x, y = _all_users(spark, sf_dir)
     df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y, strict=True)], "x1 double, x2 double, y double")
     return _weights(spark, kernel.dual_coordinates(Design(df, ["x1", "x2"]), 1.0, "l2"))
 
 
 def _gp_query(name, fit):
     def run(spark, sf_dir):
-        x, y = _user_sample(spark, sf_dir, 100)
+        _, x, y = _all_users(spark, sf_dir)
         return gp.predict(user_points(spark, sf_dir), "id", XY, fit(x, y)).withColumn("p", rounded(F.col("p")))
 
     run.__name__ = name

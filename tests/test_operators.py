@@ -187,3 +187,29 @@ def test_distance_outliers_match_brute_force(spark):
     most = int(61 * 0.1 + 1e-9)
     want = {i for i, a in enumerate(xy) if sum(math.dist(a, b) <= 1.0 for b in xy) <= most}
     assert {x["id"] for x in neighbors.distance_outliers(points(spark, xy), 0.9, 1.0).select(F.col("id")).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["multisvm_fit", "smo_fit", "cddual_fit", "gpc_laplace"])
+def test_sequential_solvers_train_on_every_user(spark, tmp_path, monkeypatch, name):
+    """250 users, of whom the first 200 alone give another model."""
+    from learnmill.plans import models
+    from learnmill.plans.registry import QUERIES
+
+    r = random.Random(12)
+    events = [(10 * u, r.gauss(0 if u < 200 else 3, 1)) for u in range(250) for _ in range(4)]
+    spark.createDataFrame(events, "user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    users = {u["id"]: (u["x"], u["y"]) for u in models.user_points(spark, str(tmp_path)).collect()}
+    sizes = []
+    solver = {"multisvm_fit": (kernel, "multi_class_dual"), "smo_fit": (kernel, "smo"), "cddual_fit": (kernel, "dual_coordinates"), "gpc_laplace": (gp, "laplace")}[name]
+    solve = getattr(*solver)
+    monkeypatch.setattr(*solver, lambda d, *a, **k: (sizes.append(d.df.count() if name == "cddual_fit" else len(d)), solve(d, *a, **k))[1])
+    got = QUERIES[name](spark, str(tmp_path)).collect()
+    assert sizes == [250]
+    if name == "multisvm_fit":
+        assert {g["id"]: g["label"] for g in got} == {i: int(x > 0) + int(y > 0) for i, (x, y) in users.items()}
+        assert sum(g["label"] == g["predicted"] for g in got) > 225
+    elif name != "cddual_fit":
+        assert {g["id"] for g in got} == set(users)
+    monkeypatch.setattr(kernel.bounded, "__defaults__", (249, ()))
+    with pytest.raises(ValueError, match="at most 249"):
+        QUERIES[name](spark, str(tmp_path))
