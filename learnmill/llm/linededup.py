@@ -93,6 +93,8 @@ def line_rows(k: int, bands: int, rows: int):
                     if abs(doc) >= 1 << (62 - PLACES):
                         raise ValueError(f"id {doc} is too large for line numbers")
                     for place, line in enumerate(normal_lines(text)):
+                        if place >= 1 << PLACES:
+                            raise ValueError(f"document {doc} has too many lines")
                         numbers.append((doc << PLACES) + place)
                         which.append(known.setdefault(line, len(known)))
                 if not numbers:

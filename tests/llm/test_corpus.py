@@ -171,6 +171,17 @@ def test_line_dedup_matches_brute_force(spark):
     assert got[0]["text"] is None and got[4]["text"] == "" and first == {}
 
 
+def test_line_numbers_do_not_run_over(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(linededup, "PLACES", 2)
+    run, _ = linededup.line_rows(10, 6, 3)
+    batch = lambda n: pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["\n".join(f"line {i}" for i in range(n))])], names=["doc", "text"])
+    assert sum(b.num_rows for b in run([batch(4)])) == 4
+    with pytest.raises(ValueError, match="too many lines"):
+        list(run([batch(5)]))
+
+
 def test_decontamination_finds_edited_passages(spark):
     r = random.Random(8)
     items = [prose(r, n, 5000) for n in (14, 25, 40, 59)]
