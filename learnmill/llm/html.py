@@ -154,7 +154,7 @@ def features(block: Block) -> list[str]:
     out.append("end:stop" if _WORD_END.search(text) else "end:open")
     if "|" in text or "»" in text or "›" in text:
         out.append("bars")
-    low = text[:300].lower()
+    low = text.lower()
     if "©" in text or "all rights" in low or "(c) " in low:
         out.append("rights")
     if "cookie" in low or "subscribe" in low or "sign up" in low or "newsletter" in low or "advertisement" in low or "sponsored" in low:

@@ -211,6 +211,11 @@ def test_html_blocks_and_held_out_pages(spark):
     assert wrong / sum(len(y) for _, y in pages) < 0.02
 
 
+def test_html_features_see_the_whole_block():
+    page = f"<div>{'word ' * 100}all rights reserved, accept every cookie</div>"
+    assert {"rights", "asks"} <= set(html.features(html.blocks_of(page)[0]))
+
+
 def test_toxicity_learns_folds_and_excepts(spark):
     r = random.Random(4)
     texts = [prose(r, 40, 2000) + (" you idiot and scumbag" if i % 4 == 0 else "") for i in range(400)]
