@@ -54,6 +54,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df has not, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    name = "_" + name
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet into the shared folder and read again: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
