@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 from .wordbpe import Vocabulary, default_vocabulary, vocabulary
 
-#: Most entries of a worker's memo of pieces, and of pairs; a full memo is emptied.
-MEMO, PAIRS = 700_000, 300_000
+#: Most bytes of a worker's memo of pieces (an entry counts its own bytes and 220 more), and most pairs in the memo of pairs; a full memo is emptied,
+#: and both are at the end of each task.
+MEMO_BYTES, ENTRY, PAIRS = 60_000_000, 220, 200_000
+#: Texts coded at once, and their most characters (one text at least).
+AT_ONCE, CHARS = 250, 2_000_000
 NEVER = 1 << 60
 
 
@@ -47,6 +50,13 @@ class PrefixEncoder:
         for i in vocab.ids.values():
             self.stands[i] = self.whole(i)
         self.memo: dict[str, bytes] = {}
+        self.memo_bytes = 0
+
+    def forget(self) -> None:
+        """Empties the memos, which otherwise would live as long as the worker."""
+        self.memo.clear()
+        self.pair_memo.clear()
+        self.memo_bytes = 0
 
     def edges(self, token: int, side: int) -> tuple:
         """The symbols that form the right (side 1) or left (side 0) edge of a token while it is built, smallest
@@ -133,9 +143,11 @@ class PrefixEncoder:
         return self.keep(pre_token, ids.tobytes())
 
     def keep(self, piece: str, ids: bytes) -> bytes:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
         if len(piece) <= 64:
+            if self.memo_bytes > MEMO_BYTES:
+                self.memo.clear()
+                self.memo_bytes = 0
+            self.memo_bytes += len(piece) + len(ids) + ENTRY
             self.memo[piece] = ids
         return ids
 
@@ -154,52 +166,84 @@ def encoder(path: str) -> PrefixEncoder:
     return PrefixEncoder(vocabulary(path))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Rows (id_col, ids array<int>), one for each input row, whole texts; null and empty texts give no ids.
+def ids_array(coded: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+
+
+def slices(batch: pa.RecordBatch, column: int):
+    """The batch in parts of at most AT_ONCE rows and CHARS characters of a text column, with the texts."""
+    start = 0
+    while start < batch.num_rows:
+        texts = batch.column(column).slice(start, AT_ONCE).to_pylist()
+        stop, size = 0, 0
+        while stop < len(texts) and (stop == 0 or size + len(texts[stop] or "") <= CHARS):
+            size += len(texts[stop] or "")
+            stop += 1
+        yield batch.slice(start, stop), texts[:stop]
+        start += stop
+
+
+def joined(ids, tokens: dict[int, str]) -> str:
+    """The token strings joined by one space; an id outside the vocabulary gives nothing."""
+    try:
+        return " ".join(map(tokens.__getitem__, ids))
+    except KeyError:
+        return " ".join(tokens[i] for i in ids if i in tokens)
 
-    Each row is encoded alone, so repeats and order don't matter; other columns are ignored. path names a
-    vocabulary file that every executor has. Nothing is shuffled; a lost task is simply run again."""
+
+def _encode(docs: DataFrame, id_col: str, text_col: str, path: str | None, decoded: bool) -> DataFrame:
     path = path or default_vocabulary()
+    names = [id_col, "ids", "decoded"] if decoded else [id_col, "ids"]
 
     def run(batches):
-        enc = encoder(path)
-        for batch in batches:
-            for part in range(0, batch.num_rows, 1000):
-                some = batch.slice(part, 1000)
-                coded = [enc.encode(t) if t else b"" for t in some.column(1).to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), np.int32)))
-                yield pa.RecordBatch.from_arrays([some.column(0), ids], names=[id_col, "ids"])
+        enc, tokens = encoder(path), vocabulary(path).tokens
+        try:
+            for batch in batches:
+                for some, texts in slices(batch, 1):
+                    coded = [enc.encode(t) if t else b"" for t in texts]
+                    columns = [some.column(0), ids_array(coded)]
+                    if decoded:
+                        columns.append(pa.array([joined(array("i", x), tokens) for x in coded], pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+        finally:
+            enc.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, ids array<int>")
+    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, ids array<int>" + (", decoded string" if decoded else ""))
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """Rows (id_col, ids array<int>), one for each input row, whole texts; null and empty texts give no ids.
+
+    Each row is encoded alone, so repeats and order don't matter, and a null id stays null; other columns are ignored. Time grows with
+    the length of a text, and so does memory: about 10 bytes a character beside the memos. An empty table gives an empty one. path
+    names a vocabulary file that every executor has. Nothing is shuffled; a lost task is simply run again."""
+    return _encode(docs, id_col, text_col, path, False)
 
 
 def decode(coded: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """coded with a column ``decoded``: the token strings joined by one space, special tokens included, as the
-    vocabulary file sets no decoder. Null or no ids give an empty text; an id outside the vocabulary gives nothing."""
+    vocabulary file sets no decoder. Null or no ids give an empty text; an id outside the vocabulary gives nothing. A column
+    named decoded is replaced."""
     path = path or default_vocabulary()
     schema = coded.drop("decoded").schema.add("decoded", "string")
 
     def run(batches):
         tokens = vocabulary(path).tokens
-        known = tokens.__getitem__
         for batch in batches:
-            texts = []
-            for ids in batch.column(batch.schema.get_field_index(ids_col)):
-                ids = ids.as_py() if ids.is_valid else []
-                try:
-                    texts.append(" ".join(map(known, ids)))
-                except KeyError:
-                    texts.append(" ".join(tokens[i] for i in ids if i in tokens))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            at = batch.schema.get_field_index(ids_col)
+            for part in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(part, AT_ONCE)
+                texts = [joined([i for i in ids if i is not None], tokens) if ids else "" for ids in some.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return arrow_map(coded.drop("decoded"), run, schema)
 
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Rows (id_col, ids, decoded): encode, then decode in the same task."""
-    return decode(encode(docs, id_col, text_col, path), "ids", path)
+    """Rows (id_col, ids, decoded): encode, then decode what came out, in one pass over the rows."""
+    return _encode(docs, id_col, text_col, path, True)
 
 
 def digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
