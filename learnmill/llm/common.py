@@ -71,6 +71,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc long, text) of the rows that have an id. Where rows repeat an id, one of them: the one with the least text. Only ids are shuffled
+    if none repeats."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
+    if texts.groupBy("doc").count().where("count > 1").limit(1).count():
+        return texts.groupBy("doc").agg(F.min("text").alias("text"))
+    return texts
+
+
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow, with this package importable for the workers."""
     ensure_package(df.sparkSession)

@@ -1,11 +1,12 @@
 """Operator 7, line dedup: fuzzy lines by MinHash.
 
-Lines are compared lower-cased with single spaces, as sets of runs of ``k`` characters. Equal lines collapse first. The
-others get ``bands`` x ``rows`` MinHash values; lines that share a band's values meet in a bucket, where the exact
-Jaccard similarity decides. A bucket gives a spanning forest of its links; distributed union-find joins them, and of
-each component the first line (smallest document, then place) stays.
+Lines are compared lower-cased with single spaces, as sets of runs of ``k`` characters. Equal lines collapse first: what
+is left is a table of distinct lines, each with a number of its own and the place where it is first. These get
+``bands`` x ``rows`` MinHash values; lines that share a band's values meet in a bucket, where the exact Jaccard similarity
+decides. A bucket gives a spanning forest of its links; distributed union-find joins them, and of each component the first
+line (smallest document, then place) stays.
 
-A pair of similarity 0.8 meets with probability 1 - (1 - 0.8**rows)**bands, 0.986 by default; at 0.9 it is 0.9996. Buckets
+A pair of similarity s meets with probability 1 - (1 - s**rows)**bands: 0.998 at 0.8 by default, 0.09 at 0.3. Buckets
 with the same members are looked at once. Buckets of more than ``block`` lines are dealt in pairs of blocks.
 """
 
@@ -17,19 +18,31 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, arrow_map, connected_components, runs_by_key, shuffle_partitions, stored
+from .common import Forest, arrow_map, by_id, connected_components, fresh_name, runs_by_key, shuffle_partitions, stored
 
-K, BANDS, ROWS, SIMILARITY, BLOCK = 10, 6, 3, 0.8, 400
-#: A line's number is its document's id times 2**24 plus its place among the lines with a word.
-PLACES = 24
-#: Characters of lines that are hashed at once.
-AT_ONCE = 200_000
+K, BANDS, ROWS, SIMILARITY, BLOCK = 10, 12, 4, 0.8, 128
+#: Characters of lines that are hashed at once, and texts that are.
+AT_ONCE, TEXTS = 200_000, 250
+#: Groups of up to this many lines are compared by Python sets, larger ones in arrays.
+FEW = 4
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def normal_line(line: str) -> str:
+    return " ".join(line.lower().split())
+
+
 def normal_lines(text: str | None) -> list[str]:
     """The lines that have a word, normalised, in order."""
-    return [y for x in text.lower().split("\n") if (y := " ".join(x.split()))] if text else []
+    return [y for x in text.split("\n") if (y := normal_line(x))] if text else []
+
+
+def first_lines(text: str | None) -> dict[str, int]:
+    """The distinct normalised lines of a text, with the place of each one's first among the lines with a word."""
+    found: dict[str, int] = {}
+    for place, line in enumerate(normal_lines(text)):
+        found.setdefault(line, place)
+    return found
 
 
 def shingles(line: str, k: int = K) -> set[str]:
@@ -41,6 +54,21 @@ def permutations(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     return r.integers(1, 1 << 32, n, dtype=np.uint32) | np.uint32(1), r.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
+def shingle_codes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all runs of k characters of the lines, one line after another, and where each line's begin. A shorter line is one run."""
+    codes = np.frombuffer("".join(x.ljust(k, "\0") for x in lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.array([max(k, len(x)) for x in lines])
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    h = np.zeros(len(codes) - k + 1, np.uint64)
+    for s in range(k):
+        h = h * _M1 + codes[s : s + len(h)]
+    h = (h ^ (h >> np.uint64(29))) * _M2
+    valid = np.ones(len(codes), bool)
+    for s in range(1, k):
+        valid[starts[1:] - s] = False
+    return h[valid[: len(h)]], np.concatenate([[0], np.cumsum(lengths - k + 1)[:-1]])
+
+
 def band_keys(lines: list[str], k: int, bands: int, rows: int) -> np.ndarray:
     """A 64-bit key for each line and band."""
     a, b = permutations(bands * rows)
@@ -51,20 +79,8 @@ def band_keys(lines: list[str], k: int, bands: int, rows: int) -> np.ndarray:
         while j < len(lines) and (j == i or size < AT_ONCE):
             size += max(k, len(lines[j]))
             j += 1
-        some = [x.ljust(k, "\0") for x in lines[i:j]]
-        codes = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        lengths = np.array([len(x) for x in some])
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        h = np.zeros(len(codes) - k + 1, np.uint64)
-        for s in range(k):
-            h = h * _M1 + codes[s : s + len(h)]
-        h = ((h ^ (h >> np.uint64(29))) * _M2) >> np.uint64(32)
-        valid = np.ones(len(h) + k - 1, bool)
-        for s in range(1, k):
-            valid[starts[1:] - s] = False
-        h = h[valid[: len(h)]].astype(np.uint32)
-        counts = lengths - k + 1
-        at = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        h, at = shingle_codes(lines[i:j], k)
+        h = (h >> np.uint64(32)).astype(np.uint32)
         key = np.zeros(j - i, np.uint64)
         for p in range(bands * rows):
             key = key * _M1 + np.minimum.reduceat(h * a[p] + b[p], at).astype(np.uint64) + np.uint64(1 + p // rows)
@@ -77,75 +93,93 @@ def band_keys(lines: list[str], k: int, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def line_rows(k: int, bands: int, rows: int):
-    """From batches (doc, text) to rows (line, h1, h2, b0...): every line with a word; h1, h2 are its 128-bit hash."""
-    names = ["line", "h1", "h2", *(f"b{i}" for i in range(bands))]
+def line_rows(batches):
+    """From batches (doc, text) to rows (doc, place, h1, h2): each document's distinct lines; h1, h2 are a line's 128-bit hash."""
+    for batch in batches:
+        for part in range(0, batch.num_rows, TEXTS):
+            some = batch.slice(part, TEXTS)
+            docs, places, digests = [], [], []
+            for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                found = first_lines(text)
+                docs += [doc] * len(found)
+                places += found.values()
+                digests += [xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in found]
+            hashes = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int64()), *(pa.array(np.ascontiguousarray(h)) for h in hashes.T)], names=["doc", "place", "h1", "h2"])
+
+
+def line_texts(k: int, bands: int, rows: int):
+    """From batches (text, lines (place, node)) to rows (node, text, cells): these lines, normalised, with their bands' keys."""
 
     def run(batches):
         for batch in batches:
-            for part in range(0, batch.num_rows, 500):
-                some = batch.slice(part, 500)
-                known: dict[str, int] = {}
-                numbers, which = [], []
-                for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    if doc is None:
-                        continue
-                    if abs(doc) >= 1 << (62 - PLACES):
-                        raise ValueError(f"id {doc} is too large for line numbers")
-                    for place, line in enumerate(normal_lines(text)):
-                        if place >= 1 << PLACES:
-                            raise ValueError(f"document {doc} has too many lines")
-                        numbers.append((doc << PLACES) + place)
-                        which.append(known.setdefault(line, len(known)))
-                if not numbers:
-                    continue
-                lines = list(known)
-                digests = [xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines]
-                hashes = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                keys = band_keys(lines, k, bands, rows).view(np.int64)
-                at = np.array(which)
-                columns = [np.array(numbers, np.int64), hashes[at, 0], hashes[at, 1], *(keys[at, i] for i in range(bands))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=names)
-
-    return run, ", ".join(f"{n} long" for n in names)
-
-
-def line_texts(batches):
-    """From batches (text, lines) to rows (line, text): the normalised texts of these line numbers."""
-    for batch in batches:
-        numbers, texts = [], []
-        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            lines = normal_lines(text)
-            for number in set(wanted):
-                place = number & ((1 << PLACES) - 1)
-                if place < len(lines):
-                    numbers.append(number)
-                    texts.append(lines[place])
-        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(texts, pa.string())], names=["line", "text"])
+            for part in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(part, TEXTS)
+                nodes, texts = [], []
+                for text, wanted in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    lines = normal_lines(text)
+                    for place, node in {(w["place"], w["node"]) for w in wanted}:
+                        if place < len(lines):
+                            nodes.append(node)
+                            texts.append(lines[place])
+                if nodes:
+                    keys = pa.array(np.ascontiguousarray(band_keys(texts, k, bands, rows)).view(np.int64).reshape(-1))
+                    cells = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, bands, dtype=np.int32)), keys)
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string()), cells], names=["node", "text", "cells"])
+
+    return run
+
+
+def similar_pairs(lines: list[str], own: list[int] | None, k: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of places of similar lines, enough to connect all of them; with own, only pairs of two blocks count."""
+    if len(lines) <= FEW:
+        sets, forest, links = [shingles(x, k) for x in lines], Forest(len(lines)), []
+        for y in range(1, len(lines)):
+            for x in range(y):
+                if (own is None or own[x] != own[y]) and forest.find(x) != forest.find(y):
+                    both = len(sets[x] & sets[y])
+                    if both >= similarity * (len(sets[x]) + len(sets[y]) - both) - 1e-9:
+                        forest.join(x, y)
+                        links.append((x, y))
+        return links
+    codes, starts = shingle_codes(lines, k)
+    line_of = np.repeat(np.arange(len(lines)), np.diff(np.append(starts, len(codes))))
+    _, number = np.unique(codes, return_inverse=True)
+    pairs = np.unique(line_of * np.int64(len(codes)) + number)  # each line's set
+    line_of, number = pairs // len(codes), pairs % len(codes)
+    starts = np.searchsorted(line_of, np.arange(len(lines)))
+    sizes = np.diff(np.append(starts, len(number)))
+    block = None if own is None else np.array(own)
+    label, marked, links = np.arange(len(lines)), np.zeros(len(codes), bool), []
+    for y in range(1, len(lines)):
+        worth = label[:y] != label[y]
+        if block is not None:
+            worth &= block[:y] != block[y]
+        worth &= np.minimum(sizes[:y], sizes[y]) >= similarity * np.maximum(sizes[:y], sizes[y]) - 1e-9
+        if not worth.any():
+            continue
+        mine = number[starts[y] : starts[y] + sizes[y]]
+        marked[mine] = True
+        both = np.add.reduceat(marked[number[: starts[y]]], starts[:y], dtype=np.int64)
+        marked[mine] = False
+        for x in np.flatnonzero(worth & (both >= similarity * (sizes[:y] + sizes[y] - both) - 1e-9)).tolist():
+            if label[x] != label[y]:
+                links.append((x, y))
+                label[label == label[y]] = label[x]
+    return links
 
 
 def bucket_links(k: int, similarity: float):
-    """From batches sorted by (bucket, i, j) to links (a, b) between lines, enough to connect each bucket's links."""
+    """From batches sorted by cell to links (a, b) between lines, enough to connect each cell's links."""
 
     def run(batches):
         a, b = [], []
-        for group in runs_by_key(batches, "cell"):
-            rows = sorted(group, key=lambda r: r["line"])
-            cross = rows[0]["i"] != rows[0]["j"]
-            forest = Forest(len(rows))
-            sets = [shingles(r["text"], k) for r in rows]
-            for y in range(1, len(rows)):
-                for x in range(y):
-                    if (cross and rows[x]["own"] == rows[y]["own"]) or rows[x]["line"] == rows[y]["line"] or forest.find(x) == forest.find(y):
-                        continue
-                    p, q = sets[x], sets[y]
-                    if min(len(p), len(q)) < similarity * max(len(p), len(q)):
-                        continue
-                    both = len(p & q)
-                    if both >= similarity * (len(p) + len(q) - both):
-                        forest.join(x, y)
-                        a.append(rows[x]["line"])
-                        b.append(rows[y]["line"])
+        for group in runs_by_key((s for batch in batches for s in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500))), "cell"):
+            rows = list({r["node"]: r for r in group}.values())
+            own = [r["own"] for r in rows] if rows[0]["i"] != rows[0]["j"] else None
+            for x, y in similar_pairs([r["text"] for r in rows], own, k, similarity):
+                a.append(rows[x]["node"])
+                b.append(rows[y]["node"])
             if len(a) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
                 a, b = [], []
@@ -155,69 +189,83 @@ def bucket_links(k: int, similarity: float):
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(doc, places array<int>): by document, the places of the lines to remove, among its lines with a word."""
+    """(doc, places array<long>): by document, the places of the lines to remove, among its lines with a word. Lines that a
+    document repeats itself are not listed, only the first of them is, if it goes."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
-    run, schema = line_rows(k, bands, rows)
-    lines = stored(arrow_map(texts, run, schema), "lines")
-    keys = [f"b{i}" for i in range(bands)]
-    distinct = stored(lines.groupBy("h1", "h2").agg(F.min("line").alias("line"), *(F.min(x).alias(x) for x in keys)).drop("h1", "h2"), "distinct")
-    cells = distinct.select("line", F.explode(F.array(*keys)).alias("cell"))
-    members = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("line").alias("least"), F.bit_xor(F.xxhash64("line")).alias("all_of_them")).where("n > 1")
-    buckets = stored(members.groupBy("n", "least", "all_of_them").agg(F.min("cell").alias("bucket")).select("bucket", "n"), "buckets")
-    met = stored(cells.join(buckets.hint("merge"), F.col("cell") == F.col("bucket")).select("cell", "line", "n"), "met")
-    wanted = met.select("line").distinct().groupBy(F.shiftright("line", PLACES).alias("d")).agg(F.collect_list("line").alias("lines"))
-    found = arrow_map(texts.join(wanted, F.col("doc") == F.col("d")).select("text", "lines"), line_texts, "line long, text string").withColumnRenamed("line", "l")
+    texts = by_id(docs, id_col, text_col)
+    lines = stored(arrow_map(texts, line_rows, "doc long, place long, h1 long, h2 long"), "lines")
+    # a document has a line once here, so the least document's place is one value
+    least = lines.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.min_by("place", "doc").alias("place"))
+    distinct = stored(least.select(F.monotonically_increasing_id().alias("node"), "doc", "place"), "distinct")
+    wanted = distinct.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("place", "node")).alias("lines"))
+    found = arrow_map(texts.join(wanted, F.col("doc") == F.col("d")).select("text", "lines"), line_texts(k, bands, rows), "node long, text string, cells array<long>")
+    found = stored(found, "texts")
+    cells = found.select("node", F.explode("cells").alias("cell"))
+    members = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("all_of_them")).where("n > 1")
+    buckets = members.groupBy("n", "least", "all_of_them").agg(F.min("cell").alias("bucket")).select("bucket", "n")
+    met = cells.join(buckets.hint("merge"), F.col("cell") == F.col("bucket")).select("cell", F.col("node").alias("w"), "n")
     blocks = F.ceil(F.col("n") / block).cast("long")
-    dealt = met.join(found, F.col("line") == F.col("l")).withColumn("own", F.pmod(F.xxhash64("line"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "line", "text")
-    sorted_cells = dealt.repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell")
-    links = arrow_map(sorted_cells, bucket_links(k, similarity), "a long, b long")
-    components = connected_components(links)
-    linked = components.where("node <> component").select(F.col("node").alias("k"))
-    first = distinct.select("line").join(linked, F.col("line") == F.col("k"), "left_anti").select(F.col("line").alias("k"))
-    gone = lines.select("line").join(first, F.col("line") == F.col("k"), "left_anti")
-    return gone.groupBy(F.shiftright("line", PLACES).alias("doc")).agg(F.collect_list(F.col("line").bitwiseAND(F.lit((1 << PLACES) - 1)).cast("int")).alias("places"))
-
-
-def drop_lines(text: str | None, places: list[int]) -> tuple[str | None, int]:
-    """The text without these of its lines with a word, and how many lines with a word it has."""
+    dealt = met.join(found.select("node", "text"), F.col("node") == F.col("w")).withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    dealt = dealt.select(F.xxhash64("cell", i, j).alias("cell"), i.alias("i"), j.alias("j"), "own", "node", "text")
+    links = arrow_map(dealt.repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell"), bucket_links(k, similarity), "a long, b long")
+    components = stored(connected_components(links), "components")
+    grouped = components.join(distinct, "node").select("component", "node", "doc", "place")
+    first = grouped.groupBy("component").agg(F.min(F.struct("doc", "place", "node")).alias("first")).select(F.col("first.node").alias("node"))
+    later = grouped.join(first, "node", "left_anti").select(F.col("doc").alias("d"), F.col("place").alias("p"))
+    kept = distinct.select(F.col("doc").alias("d"), F.col("place").alias("p")).join(later, ["d", "p"], "left_anti")
+    gone = lines.select("doc", "place").join(kept, (F.col("doc") == F.col("d")) & (F.col("place") == F.col("p")), "left_anti")
+    return gone.groupBy("doc").agg(F.collect_list("place").alias("places"))
+
+
+def drop_lines(text: str | None, places: list[int]) -> tuple[str | None, int, int]:
+    """The text without these of its lines with a word and without those that repeat an earlier line of its own; how many lines with a
+    word it has, and how many go."""
     if not text:
-        return text, 0
-    gone, kept, at = set(places), [], 0
+        return text, 0, 0
+    gone, kept, seen, at, lost = set(places), [], set(), 0, 0
     for line in text.split("\n"):
-        if line.split():
-            if at not in gone:
+        own = normal_line(line)
+        if own:
+            if at in gone or own in seen:
+                lost += 1
+            else:
                 kept.append(line)
+            seen.add(own)
             at += 1
         else:
             kept.append(line)
-    return "\n".join(kept), at
+    return "\n".join(kept), at, lost
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with text_col cut to the lines kept, and columns n_lines and n_lines_removed (lines with a word); one row for each
-    input row.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_cols: tuple[str, str] = ("n_lines", "n_lines_removed"), **how) -> DataFrame:
+    """docs with text_col cut to the lines kept, and two counts, named by count_cols: lines with a word, and those removed; one row for
+    each input row.
 
     Lines without a word are kept and count for nothing. Null texts stay null, texts that lose all lines become
-    empty. Rows with a null id are left alone. Ids are unique integers under 2**38; a row that repeats an id with the
-    same text is treated like the other. All columns stay; n_lines and n_lines_removed replace columns so named."""
-    gone = removed_lines(docs, id_col, text_col, **how).withColumnsRenamed({"doc": "_doc", "places": "_places"})
-    base = docs.drop("n_lines", "n_lines_removed")
-    joined = base.join(gone, F.col(id_col) == F.col("_doc"), "left").drop("_doc")
-    schema = base.schema.add("n_lines", "long").add("n_lines_removed", "long")
+    empty. Rows with a null id lose only lines that they repeat themselves. Ids are integers; rows that repeat an id count as one document,
+    the one with the least of their texts, and are all cut at its places. Texts and ids of any size are taken. All
+    columns stay; columns named like the counts are replaced. An empty table gives an empty one."""
+    gone = removed_lines(docs, id_col, text_col, **how)
+    doc, places_col = fresh_name(docs, "doc"), fresh_name(docs, "places")
+    base = docs.drop(*count_cols)
+    joined = base.join(gone.withColumnsRenamed({"doc": doc, "places": places_col}), F.col(id_col) == F.col(doc), "left").drop(doc)
+    schema = base.schema.add(count_cols[0], "long").add(count_cols[1], "long")
     at = base.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            texts, n, lost = [], [], []
-            for text, places in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                cut, lines = drop_lines(text, places or [])
-                texts.append(cut)
-                n.append(lines)
-                lost.append(len(set(places or [])))
-            columns = list(batch.columns[:-1])
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(lost, pa.int64())], names=[*batch.schema.names[:-1], "n_lines", "n_lines_removed"])
+            for part in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(part, TEXTS)
+                cut = [drop_lines(text, places or []) for text, places in zip(some.column(at).to_pylist(), some.column(some.num_columns - 1).to_pylist(), strict=True)]
+                columns = list(some.columns[:-1])
+                columns[at] = pa.array([x[0] for x in cut], pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x[1] for x in cut], pa.int64()), pa.array([x[2] for x in cut], pa.int64())], names=[*some.schema.names[:-1], *count_cols])
 
     return arrow_map(joined, run, schema)
+
+
+def cut_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with text_col cut to the lines kept, and no other change; see dedup_lines."""
+    counts = fresh_name(docs, "lines"), fresh_name(docs, "lost")
+    return dedup_lines(docs, id_col, text_col, counts, **how).drop(*counts)

@@ -171,15 +171,52 @@ def test_line_dedup_matches_brute_force(spark):
     assert got[0]["text"] is None and got[4]["text"] == "" and first == {}
 
 
-def test_line_numbers_do_not_run_over(monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr(linededup, "PLACES", 2)
-    run, _ = linededup.line_rows(10, 6, 3)
-    batch = lambda n: pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["\n".join(f"line {i}" for i in range(n))])], names=["doc", "text"])
-    assert sum(b.num_rows for b in run([batch(4)])) == 4
-    with pytest.raises(ValueError, match="too many lines"):
-        list(run([batch(5)]))
+def test_line_dedup_takes_any_id_and_repeated_rows(spark):
+    big = 2**62
+    texts = ["same line of words here\nown line one", "same line of words here\nown line two", "same line of words here\nown line two", None, "same line of words here\nsame line of words here"]
+    got = linededup.dedup_lines(docs(spark, texts, [-5, big, big, 7, None])).collect()
+    by_id = {}
+    for x in got:
+        by_id.setdefault(x["doc_id"], []).append((x["text"], x["n_lines_removed"]))
+    assert by_id == {-5: [(texts[0], 0)], big: [("own line two", 1)] * 2, 7: [(None, 0)], None: [("same line of words here", 1)]}
+    assert linededup.dedup_lines(docs(spark, [])).count() == 0
+    kept = linededup.cut_lines(docs(spark, texts).withColumn("n_lines", F.lit("mine")))
+    assert kept.columns == [*docs(spark, []).columns, "n_lines"] and {x["n_lines"] for x in kept.collect()} == {"mine"}
+
+
+def test_line_bands_meet_at_the_threshold():
+    r = random.Random(9)
+    met = 0
+    for _ in range(300):
+        base = "".join(r.choice("abcdefghij ") for _ in range(200))
+        other = base
+        while True:  # edits until the next one would fall under the threshold
+            i = r.randrange(len(other))
+            nxt = other[:i] + "#" + other[i + 1 :]
+            p, q = linededup.shingles(base), linededup.shingles(nxt)
+            if len(p & q) < 0.8 * len(p | q):
+                break
+            other = nxt
+        keys = linededup.band_keys([base, other], linededup.K, linededup.BANDS, linededup.ROWS)
+        met += bool((keys[0] == keys[1]).any())
+    assert met >= 0.97 * 300
+
+
+def test_line_pairs_in_arrays_equal_those_of_sets():
+    r = random.Random(10)
+    base = ["".join(r.choice("abcdefgh ") for _ in range(60)) for _ in range(6)]
+    lines = [x[:i] + "#" + x[i + 1 :] for x in base for i in (3, 20, 40, 59)] + ["short", "shorts"]
+    own = [r.randrange(2) for _ in lines]
+    for block in (None, own):
+        forest, want = Forest(len(lines)), Forest(len(lines))
+        for x, y in linededup.similar_pairs(lines, block, 10, 0.8):
+            forest.join(x, y)
+        sets = [linededup.shingles(x) for x in lines]
+        for y in range(len(lines)):
+            for x in range(y):
+                if (block is None or block[x] != block[y]) and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+                    want.join(x, y)
+        assert [forest.find(i) for i in range(len(lines))] == [want.find(i) for i in range(len(lines))]
 
 
 def test_decontamination_finds_edited_passages(spark):
