@@ -42,12 +42,15 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by the cluster (spark.checkpoint.dir); one of our own where it is unset."""
+    """The folder shared by the cluster (spark.checkpoint.dir). Where it is unset, one of our own, which a cluster's executors would not see: then only
+    for a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext._jsc.sc()
     if not found and context.getCheckpointDir().isDefined():
         found = context.getCheckpointDir().get()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="learnmill-")
     if context.getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(found)
@@ -63,21 +66,36 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read again: cuts lineage, and survives lost executors."""
+def stored(df: DataFrame, name: str, *, by: str | None = None) -> DataFrame:
+    """df written as Parquet into the shared folder and read again: cuts lineage, and survives lost executors. by: a column
+    that the folder is partitioned by."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/learnmill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._learnmill_path = path
+    return out
 
 
-def by_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc long, text) of the rows that have an id. Where rows repeat an id, one of them: the one with the least text. Only ids are shuffled
-    if none repeats."""
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for df in tables:
+        if getattr(df, "_learnmill_path", None):
+            delete_path(df.sparkSession, df._learnmill_path)
+
+
+def by_id(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(doc long, text) of the rows that have an id, and whether rows repeat an id. If so, one row of each id is taken: the one with the least
+    text. Only ids are shuffled if none repeats."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
     if texts.groupBy("doc").count().where("count > 1").limit(1).count():
-        return texts.groupBy("doc").agg(F.min("text").alias("text"))
-    return texts
+        return texts.groupBy("doc").agg(F.min("text").alias("text")), True
+    return texts, False
 
 
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:

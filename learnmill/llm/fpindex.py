@@ -3,23 +3,27 @@
 A window is ``width`` consecutive words. Documents come in batches, in order of their ids; a word goes if a window
 over it also starts earlier, in history or in the batch.
 
-- Every window selects one of the grams of ``gram`` words in it, the one with the smallest hash (the rightmost of equals). Equal
-  windows select equal grams, so the selected grams of a text, about one in seven, stand for all its windows. The windows that
-  select one gram are consecutive; the words under them are the gram's context.
-- The index is a list of immutable runs: Parquet tables, bucketed and sorted by hash, of (h, c, pos, n): hash of a gram, hash of its
-  context, where it was first (document and first window), and how many windows it has. A new batch's contexts are merge-joined with the runs.
-- A context met before is a repeat with all its windows. A gram met before in another context may share some windows: those contexts
-  are verified on the texts, window by window, with 128-bit hashes from two independent word hashes.
+- Every window selects one of the shorter windows of ``gram`` words in it, the one with the smallest hash (the rightmost of equals), so equal
+  windows select equal grams, and one hash in seven stands for all windows of a text. (A run with all of them would be 4.8 times
+  as large as the text.) The windows that select one gram are consecutive; the words under them are the gram's context.
+- The index is a list of immutable runs: Parquet tables, bucketed and sorted by hash, of (h, c, doc, first, n): hash of the gram, hash of its
+  context, where it was first (document and first window), and how many windows it has. The texts are kept beside them, bucketed by document. A
+  new batch is merge-joined with the runs. Opened again by its folder, the index goes on with the next batch.
+- A context met before is a candidate with all its windows. A gram met before in another context may share some windows: those
+  contexts' windows are hashed one by one, and equal ones are candidates.
+- Candidates are verified word by word: neighbouring ones with one source become spans, spans are cut at the chunks of ``CHUNK`` words of their
+  source, the chunks that are wanted are fetched once each, and a span with an unequal word is dropped.
 - The batch's new contexts become a run; contexts seen before are not indexed again, so the index grows with distinct
   text. When there are ``fanout`` runs, they are compacted into one before the next batch.
 
 A hot context is one row for each map task before its shuffle, and joins that meet it can be split by adaptive
-execution; no group of documents is gathered in one place except a single document's own places.
+execution; what is gathered by document is bounded by the document's own length.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,30 +31,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, scratch_dir, shuffle_partitions, split_words, stored
+from .common import arrow_map, by_id, delete_path, discard, scratch_dir, shuffle_partitions, split_words, stored
 
-WIDTH, GRAM, BATCHES, FANOUT = 20, 8, 3, 2
-#: Most words in a worker's memo of hashes; a full memo is emptied.
-MEMO = 500_000
-#: A position is its document's id times 2**24 plus the place of a window's first word; a span is a place times 256 plus its number of windows.
-PLACES, SPAN = 24, 256
+WIDTH, GRAM, BATCHES, FANOUT, CHUNK = 20, 8, 3, 2, 64
+#: Most words in a worker's memo of hashes, which is emptied when full and after each task; texts handled at once.
+MEMO, TEXTS = 300_000, 250
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+GRAMS = "h long, c long, doc long, first long, n int, own long"
 
 
 class WordHashes(dict):
     """word -> 64-bit hash, made when first asked for."""
 
-    def __init__(self, seed: int):
-        self.seed = seed
-
     def __missing__(self, word: bytes) -> int:
         if len(self) > MEMO:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
+        h = self[word] = xxhash.xxh3_64_intdigest(word, 1)
         return h
 
-
-_FIRST, _SECOND = WordHashes(1), WordHashes(2)
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -75,87 +75,183 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def selected(words: list[bytes], width: int, gram: int) -> tuple[np.ndarray, ...]:
+def selected(hashes: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
     """(gram hash, context hash, first window, number of windows) of the grams that the windows select."""
-    h = np.fromiter(map(_FIRST.__getitem__, words), np.uint64, len(words))
-    grams = rolled(h, gram)
+    grams = rolled(hashes, gram)
     span = width - gram + 1
     view = np.lib.stride_tricks.sliding_window_view(grams, span)
     place = span - 1 - np.argmin(view[:, ::-1], axis=1) + np.arange(len(view))
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     n = np.diff(np.append(first, len(place)))
-    other = np.fromiter(map(_SECOND.__getitem__, words), np.uint64, len(words))
-    up, down = powers(len(words))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(other * up[:-1], dtype=np.uint64)])
+    up, down = powers(len(hashes))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes) * up[:-1], dtype=np.uint64)])
     context = (sums[first + n + width - 1] - sums[first]) * down[first] + n.astype(np.uint64) * _M2
     return grams[place[first]], mixed(context), first, n
 
 
+def first_of_equals(*keys: np.ndarray) -> np.ndarray:
+    """For each place, the first place with equal keys."""
+    order = np.lexsort((np.arange(len(keys[0])), *keys))
+    new = np.ones(len(order), bool)
+    for k in keys:
+        new[1:] &= k[order[1:]] == k[order[:-1]]
+    new[1:] = ~new[1:]
+    new[:1] = True
+    out = np.empty(len(order), np.int64)
+    out[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    return out
+
+
+def parts_of(batches: Iterator, size: int = TEXTS) -> Iterator:
+    for batch in batches:
+        for start in range(0, batch.num_rows, size):
+            yield batch.slice(start, size)
+
+
+def arrays(parts: list[list[np.ndarray]], kinds: list, names: list[str]) -> pa.RecordBatch:
+    columns = [np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(k)) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
 def gram_rows(width: int, gram: int):
+    """From batches (doc, text) to GRAMS: the selected grams. own is where the document had the same context before, or -1."""
+    kinds, names = [np.int64, np.int64, np.int64, np.int64, np.int32, np.int64], ["h", "c", "doc", "first", "n", "own"]
+
     def run(batches):
-        for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], [], []]
+        memo = WordHashes()
+        for batch in parts_of(batches):
+            parts: list[list[np.ndarray]] = [[] for _ in names]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = split_words(text)
                 if len(words) < width:
                     continue
-                if abs(doc) >= 1 << (62 - PLACES) or len(words) >= 1 << PLACES:
-                    raise ValueError(f"id {doc} or its text is too large for positions")
-                h, c, first, n = selected(words, width, gram)
-                for p, x in zip(parts, (h, c, (doc << PLACES) + first, n), strict=True):
+                h, c, first, n = selected(memo.of(words), width, gram)
+                same = first_of_equals(h, c)
+                own = np.where(same < np.arange(len(h)), first[same], -1)
+                for p, x in zip(parts, (h, c, np.full(len(h), doc), first, n, own), strict=True):
                     p.append(x)
-            if parts[0]:
-                h, c, pos, n = (np.concatenate(p) for p in parts)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(pos), pa.array(n.astype(np.int32))], names=["h", "c", "pos", "n"])
+            yield arrays(parts, kinds, names)
 
     return run
 
 
+def covered(lo: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places are in a span [lo, lo + count)."""
+    edges = np.zeros(n + 1, np.int64)
+    np.add.at(edges, np.clip(lo, 0, n), 1)
+    np.add.at(edges, np.clip(lo + count, 0, n), -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
+def fields(spans, *names: str) -> list[np.ndarray]:
+    """Fields of a scalar list of structs, as arrays."""
+    return [spans.values.field(n).to_numpy(zero_copy_only=False) for n in names]
+
+
 def window_rows(width: int):
-    """From batches (doc, text, spans) to rows (w1, w2, pos): the whole windows of the spans."""
+    """From batches (doc, text, spans) to rows (w, doc, at, own): the windows of the spans, own as in gram_rows."""
 
     def run(batches):
-        for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], []]
+        memo = WordHashes()
+        for batch in parts_of(batches):
+            parts: list[list[np.ndarray]] = [[], [], [], []]
             for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = split_words(text)
                 if len(words) < width:
                     continue
-                at = np.flatnonzero(covered(spans.values.to_numpy(), len(words) - width + 1, 0))
-                for k, memo in enumerate((_FIRST, _SECOND)):
-                    out[k].append(rolled(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), width)[at])
-                out[2].append((doc << PLACES) + at)
-            if out[0]:
-                w1, w2, pos = (np.concatenate(p) for p in out)
-                yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(pos.astype(np.int64))], names=["w1", "w2", "pos"])
+                at = np.flatnonzero(covered(*fields(spans, "first", "n"), len(words) - width + 1))
+                w = rolled(memo.of(words), width)[at]
+                same = first_of_equals(w)
+                for p, x in zip(parts, (w, np.full(len(w), doc), at, np.where(same < np.arange(len(w)), at[same], -1)), strict=True):
+                    p.append(x)
+            yield arrays(parts, [np.int64] * 4, ["w", "doc", "at", "own"])
 
     return run
 
 
-def covered(spans: np.ndarray, n: int, more: int) -> np.ndarray:
-    """Which of n places are in a span, each span reaching ``more`` places further."""
-    lo, count = spans // SPAN, spans % SPAN
-    edges = np.zeros(n + 1, np.int32)
-    np.add.at(edges, np.minimum(lo, n), 1)
-    np.add.at(edges, np.minimum(lo + count + more, n), -1)
-    return np.cumsum(edges[:-1]) > 0
+def merged_spans(at: np.ndarray, n: np.ndarray, source: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans of windows that touch and keep their distance to one source, joined: (at, n, source, start)."""
+    away = start - at
+    order = np.lexsort((at, away, source))
+    at, n, source, away = at[order], n[order], source[order], away[order]
+    end = at + n
+    new = np.ones(len(at), bool)
+    same = (source[1:] == source[:-1]) & (away[1:] == away[:-1])
+    group = np.concatenate([[0], np.cumsum(~same)])
+    far = np.maximum.accumulate(end + group * (int(end.max(initial=0)) + 1)) - group * (int(end.max(initial=0)) + 1)
+    new[1:] = ~same | (at[1:] > far[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at)) - 1
+    return at[first], far[last] - at[first], source[first], at[first] + away[first]
+
+
+PIECES = "doc long, span long, at long, size int, source long, chunk long, skip int"
+
+
+def piece_rows(width: int, chunk: int):
+    """From batches (doc, spans (at, n, source, start)) to PIECES: merged spans, cut at the chunks of their sources."""
+    kinds, names = [np.int64, np.int64, np.int64, np.int32, np.int64, np.int64, np.int32], ["doc", "span", "at", "size", "source", "chunk", "skip"]
+
+    def run(batches):
+        for batch in parts_of(batches, 1000):
+            parts: list[list[np.ndarray]] = [[] for _ in names]
+            for doc, spans in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                at, n, source, start = merged_spans(*fields(spans, "at", "n", "source", "start"))
+                size = n + width - 1
+                lo, hi = start // chunk, (start + size - 1) // chunk
+                which = np.repeat(np.arange(len(at)), hi - lo + 1)
+                number = lo[which] + np.arange(len(which)) - np.repeat(np.cumsum(hi - lo + 1) - (hi - lo + 1), hi - lo + 1)
+                begin, stop = np.maximum(start[which], number * chunk), np.minimum((start + size)[which], (number + 1) * chunk)
+                # a span is told apart by its number in the document
+                for p, x in zip(parts, (np.full(len(which), doc), which, at[which] + begin - start[which], stop - begin, source[which], number, begin - number * chunk), strict=True):
+                    p.append(x)
+            yield arrays(parts, kinds, names)
+
+    return run
 
 
-def cut_rows(width: int, names: list[str]):
-    """From batches (id, text, spans) to (id, n_words, n_removed, kept_text): words under the spans' windows go."""
+def chunk_rows(chunk: int):
+    """From batches (doc, text, chunks) to rows (doc, chunk, words): these chunks of the text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches):
+            docs, numbers, texts = [], [], []
+            for doc, text, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = split_words(text)
+                for k in chunks:
+                    docs.append(doc)
+                    numbers.append(k)
+                    texts.append(b" ".join(words[k * chunk : (k + 1) * chunk]))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int64()), pa.array(texts, pa.binary())], names=["d", "k", "words"])
+
+    return run
+
+
+def verified_cover(words: list[bytes], pieces: list[dict]) -> np.ndarray:
+    """Which words are under a span whose words all equal its source's."""
+    bad, good = set(), []
+    for p in pieces:
+        theirs = p["words"].split()[p["skip"] : p["skip"] + p["size"]]
+        if words[p["at"] : p["at"] + p["size"]] == theirs and len(theirs) == p["size"]:
+            good.append(p)
+        else:
+            bad.add(p["span"])
+    good = [p for p in good if p["span"] not in bad]
+    return covered(np.array([p["at"] for p in good], np.int64), np.array([p["size"] for p in good], np.int64), len(words))
+
+
+def cut_rows(names: list[str]):
+    """From batches (id, text, pieces) to (id, n_words, n_removed, kept_text): words under verified spans go."""
+
+    def run(batches):
+        for batch in parts_of(batches):
             n_words, n_removed, kept = [], [], []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for text, pieces in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = split_words(text)
                 n_words.append(len(words))
-                gone = 0
-                if spans.is_valid and len(spans):
-                    cover = covered(spans.values.to_numpy(), len(words), width - 1)
-                    gone = int(cover.sum())
-                    words = [w for w, g in zip(words, cover.tolist(), strict=True) if not g]
-                n_removed.append(gone)
+                if pieces:
+                    words = [w for w, g in zip(words, verified_cover(words, pieces).tolist(), strict=True) if not g]
+                n_removed.append(n_words[-1] - len(words))
                 kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=names)
 
@@ -168,83 +264,168 @@ def own_key(*columns: str):
     return [F.col(c).bitwiseXOR(F.lit(0)).alias("k_" + c) for c in columns]
 
 
-def by_document(spans: DataFrame) -> DataFrame:
-    """(d, spans) from rows (pos, n)."""
-    packed = (F.col("pos").bitwiseAND(F.lit((1 << PLACES) - 1)) * SPAN + F.col("n")).alias("span")
-    return spans.select(F.shiftright("pos", PLACES).alias("d"), packed).groupBy("d").agg(F.collect_list("span").alias("spans"))
+def on(*columns: str):
+    out = F.col(columns[0]) == F.col("k_" + columns[0])
+    for c in columns[1:]:
+        out = out & (F.col(c) == F.col("k_" + c))
+    return out
 
 
 class FingerprintIndex:
-    """Runs of contexts; add() dedups a batch against them and indexes it."""
+    """Runs of contexts and the texts beside them, in a folder that all executors share; add() takes a batch in and tells its repeats.
+
+    FingerprintIndex(spark, folder) makes the index, or opens the one that is there; without a folder the index is for this job alone. Each batch's ids must be over those of all earlier ones."""
 
-    def __init__(self, spark, width: int = WIDTH, gram: int = GRAM, fanout: int = FANOUT, buckets: int | None = None):
+    RUN, TEXT = "h BIGINT, c BIGINT, doc BIGINT, first BIGINT, n INT", "doc BIGINT, text STRING"
+
+    def __init__(self, spark, folder: str | None = None, width: int = WIDTH, gram: int = GRAM, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.width, self.gram, self.fanout = spark, width, gram, max(2, fanout)
-        if width - gram + 1 >= SPAN:
-            raise ValueError("a gram must be nearly as long as a window, for wide windows")
+        if not 0 < gram <= width:
+            raise ValueError("a gram is part of a window")
         self.buckets = buckets or shuffle_partitions(spark)
-        self.runs: list[str] = []
+        self.lasting = folder is not None
+        self.folder = folder or f"{scratch_dir(spark)}/learnmill-index-{uuid.uuid4().hex}"
+        self.runs: list[tuple[str, str]] = []  # (table, its folder)
+        self.texts: list[tuple[str, str]] = []
+        self.version = 0
         scratch_dir(spark)
+        if self.lasting:
+            self._open()
+
+    # -- tables and the list of them
+
+    def _files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _open(self) -> None:
+        """Reads the newest whole list of tables and tells the session's catalog of them."""
+        fs, path = self._files()
+        versions = [int(x.getPath().getName().removeprefix("list-")) for x in fs.listStatus(path) if x.getPath().getName().startswith("list-")] if fs.exists(path) else []
+        whole = [v for v in versions if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/list-{v}/_SUCCESS"))]
+        if not whole:
+            return
+        self.version = max(whole)
+        for row in sorted(self.spark.read.parquet(f"{self.folder}/list-{self.version}").collect(), key=lambda r: r["place"]):
+            self.buckets, self.width, self.gram = row["buckets"], row["width"], row["gram"]
+            columns, key, order = (self.RUN, "h, c", "h, c") if row["kind"] == "run" else (self.TEXT, "doc", "doc")
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {row['name']} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({order}) INTO {row['buckets']} BUCKETS LOCATION '{row['path']}'")
+            (self.runs if row["kind"] == "run" else self.texts).append((row["name"], row["path"]))
+
+    def _list(self) -> None:
+        """Writes the list of tables anew; an index without a folder of its own has none."""
+        if not self.lasting:
+            return
+        rows = [(k, i, name, path, self.buckets, self.width, self.gram) for k, tables in (("run", self.runs), ("text", self.texts)) for i, (name, path) in enumerate(tables)]
+        self.spark.createDataFrame(rows, "kind string, place int, name string, path string, buckets int, width int, gram int").coalesce(1).write.parquet(f"{self.folder}/list-{self.version + 1}")
+        self.version += 1
+
+    def _write(self, rows: DataFrame, kind: str, *keys: str) -> tuple[str, str]:
+        name = f"learnmill_{kind}_{uuid.uuid4().hex}"
+        path = f"{self.folder}/{name}"
+        rows.repartition(self.buckets, *keys).write.bucketBy(self.buckets, *keys).sortBy(*keys).format("parquet").option("path", path).saveAsTable(name)
+        return name, path
+
+    def _drop(self, tables) -> None:
+        for name, path in tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete_path(self.spark, path)
 
-    def _write_run(self, rows: DataFrame) -> str:
-        name = f"learnmill_run_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").saveAsTable(name)
-        return name
+    def _table(self, tables) -> DataFrame:
+        out = self.spark.table(tables[0][0])
+        for name, _ in tables[1:]:
+            out = out.union(self.spark.table(name))
+        return out
 
     def compact(self) -> None:
         """All runs become one."""
         if len(self.runs) > 1:
-            merged = self._write_run(self._history())
-            for name in self.runs:
-                self.spark.sql(f"DROP TABLE {name}")
-            self.runs = [merged]
-
-    def _history(self) -> DataFrame:
-        out = self.spark.table(self.runs[0])
-        for name in self.runs[1:]:
-            out = out.union(self.spark.table(name))
-        return out
+            old, self.runs = self.runs, [self._write(self._table(self.runs), "run", "h", "c")]
+            self._list()
+            self._drop(old)
 
-    def add(self, docs: DataFrame, history_docs: DataFrame | None = None) -> DataFrame:
-        """Repeated windows of a batch: (doc, spans array<long>). docs has doc and text, with ids over all earlier
-        ones; history_docs has the texts of earlier batches, of which only those with shared grams are read again."""
+    def close(self) -> None:
+        """Deletes the index."""
+        self._drop(self.runs + self.texts)
+        delete_path(self.spark, self.folder)
+        self.runs, self.texts = [], []
+
+    # -- a batch
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Takes in a batch (doc, text) and returns its repeated, verified pieces, PIECES with the words of their sources, by document: (doc, pieces)."""
+        self.keep_texts(docs)
+        candidates, unsure = self.merge(self.grams(self.spark.table(self.texts[-1][0])))
+        batch = self.spark.table(self.texts[-1][0]).select(F.col("doc").alias("k_doc"))
+        found = self.verify(candidates, unsure)
+        return found.join(batch, on("doc"), "left_semi")
+
+    def keep_texts(self, docs: DataFrame) -> None:
+        self.texts.append(self._write(docs.select("doc", "text"), "text", "doc"))
+        self._list()
+
+    def grams(self, texts: DataFrame) -> DataFrame:
+        return arrow_map(texts.select("doc", "text"), gram_rows(self.width, self.gram), GRAMS)
+
+    def merge(self, grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Merge-joins a batch's grams with the runs and makes its new contexts a run. Returns candidates (doc, at, n, source, start), and the contexts
+        (doc, first, n) whose windows must be compared one by one."""
         if len(self.runs) >= self.fanout:
             self.compact()
-        grams = stored(arrow_map(docs, gram_rows(self.width, self.gram), "h long, c long, pos long, n int"), "grams")
-        contexts = grams.groupBy("h", "c").agg(F.min("pos").alias("pos"), F.min("n").alias("n"), F.count("*").alias("times"))
-        history = self._history() if self.runs else None
-        if history is not None:
-            old = history.select(F.col("h").alias("k_h"), F.col("c").alias("k_c"), F.lit(True).alias("old"))
-            contexts = contexts.join(old.hint("merge"), (F.col("h") == F.col("k_h")) & (F.col("c") == F.col("k_c")), "left").drop("k_h", "k_c")
+        if not hasattr(grams, "_learnmill_path"):
+            grams = stored(grams, "grams")
+        contexts = grams.where("own < 0").groupBy("h", "c").agg(F.min("doc").alias("doc"), F.min_by("first", "doc").alias("first"), F.min("n").alias("n"), F.count("*").alias("times"))
+        if self.runs:
+            old = self._table(self.runs).select(F.col("h").alias("k_h"), F.col("c").alias("k_c"), F.col("doc").alias("old_doc"), F.col("first").alias("old_first"))
+            contexts = contexts.join(old.hint("merge"), on("h", "c"), "left").drop("k_h", "k_c")
         else:
-            contexts = contexts.withColumn("old", F.lit(None).cast("boolean"))
+            contexts = contexts.withColumns({"old_doc": F.lit(None).cast("long"), "old_first": F.lit(None).cast("long")})
         contexts = stored(contexts, "contexts")
-        own = self._write_run(contexts.where("old is null").select("h", "c", "pos", "n"))
-        run = self.spark.table(own)
-        again = contexts.where("old or times > 1").select(*own_key("h", "c"), F.when(F.col("old"), F.lit(None)).otherwise(F.col("pos")).cast("long").alias("first"))
-        repeats = grams.join(again.hint("merge"), (F.col("h") == F.col("k_h")) & (F.col("c") == F.col("k_c"))).where("first is null or pos > first").select("pos", "n")
-        shared = run.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select(F.col("h").alias("k"))
+        history = self._table(self.runs) if self.runs else None
+        self.runs.append(self._write(contexts.where("old_doc is null").select("h", "c", "doc", "first", "n"), "run", "h", "c"))
+        self._list()
+        run = self.spark.table(self.runs[-1][0])
+        again = contexts.where("old_doc is not null or times > 1").select(*own_key("h", "c"), F.coalesce("old_doc", "doc").alias("source"), F.coalesce("old_first", "first").alias("start"))
+        met = grams.where("own < 0").join(again.hint("merge"), on("h", "c")).where("doc <> source").select("doc", F.col("first").alias("at"), "n", "source", "start")
+        itself = grams.where("own >= 0").select("doc", F.col("first").alias("at"), "n", F.col("doc").alias("source"), F.col("own").alias("start"))
+        candidates = stored(met.union(itself), "candidates")
+        shared = run.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
         if history is not None:
-            shared = shared.union(run.select("h").join(history.select(F.col("h").alias("k")).hint("merge"), F.col("h") == F.col("k"), "left_semi").select("h")).distinct()
-        shared = stored(shared, "shared")
-        unsure = run.join(shared.hint("merge"), F.col("h") == F.col("k"), "left_semi").select("pos", "n")
-        texts = docs
-        if history is not None and history_docs is not None:
-            unsure = unsure.union(history.join(shared.hint("merge"), F.col("h") == F.col("k"), "left_semi").select("pos", "n"))
-            texts = docs.unionByName(history_docs)
-        windows = arrow_map(texts.join(by_document(unsure), F.col("doc") == F.col("d")).select("doc", "text", "spans"), window_rows(self.width), "w1 long, w2 long, pos long")
-        windows = stored(windows, "windows")
-        first = windows.groupBy("w1", "w2").agg(F.min("pos").alias("first"), F.count("*").alias("times")).where("times > 1").select(*own_key("w1", "w2"), "first")
-        later = windows.join(first.hint("merge"), (F.col("w1") == F.col("k_w1")) & (F.col("w2") == F.col("k_w2"))).where("pos > first").select("pos", F.lit(1).alias("n"))
-        lowest = docs.agg(F.min("doc")).first()[0] if history is not None else None
-        if lowest is not None:
-            later = later.where(F.col("pos") >= F.lit(lowest << PLACES))
-        self.runs.append(own)
-        return stored(by_document(repeats.union(later)).withColumnRenamed("d", "doc"), "spans")
+            theirs = history.select(F.col("h").alias("k_h"))
+            shared = shared.union(run.select("h").distinct().join(theirs.hint("merge"), on("h"), "left_semi")).distinct()
+        shared = stored(shared.select(*own_key("h")), "shared")
+        both = run if history is None else run.union(history)
+        unsure = stored(both.join(shared.hint("merge"), on("h"), "left_semi").select("doc", "first", "n"), "unsure")
+        discard(grams, contexts, shared)
+        return candidates, unsure
+
+    def verify(self, candidates: DataFrame, unsure: DataFrame) -> DataFrame:
+        """(doc, pieces): candidates, and equal windows of the unsure contexts, as pieces with the words to compare them with."""
+        texts = self._table(self.texts)
+        by_doc = unsure.groupBy(F.col("doc").alias("k_doc")).agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+        windows = stored(arrow_map(texts.join(by_doc.hint("merge"), on("doc")).select("doc", "text", "spans"), window_rows(self.width), "w long, doc long, at long, own long"), "windows")
+        first = windows.where("own < 0").groupBy("w").agg(F.min("doc").alias("source"), F.min_by("at", "doc").alias("start"), F.count("*").alias("times")).where("times > 1")
+        later = windows.where("own < 0").join(first.select(*own_key("w"), "source", "start").hint("merge"), on("w")).where("doc <> source")
+        one = F.lit(1).cast("int").alias("n")
+        spans = candidates.union(later.select("doc", "at", one, "source", "start")).union(windows.where("own >= 0").select("doc", "at", one, F.col("doc").alias("source"), F.col("own").alias("start")))
+        grouped = spans.groupBy("doc").agg(F.collect_list(F.struct("at", F.col("n").cast("long").alias("n"), "source", "start")).alias("spans"))
+        pieces = stored(arrow_map(grouped, piece_rows(self.width, CHUNK), PIECES), "pieces")
+        discard(candidates, unsure, windows)
+        wanted = pieces.select(F.col("source").alias("k_doc"), "chunk").distinct().groupBy("k_doc").agg(F.collect_list("chunk").alias("chunks"))
+        chunks = arrow_map(texts.join(wanted.hint("merge"), on("doc")).select("doc", "text", "chunks"), chunk_rows(CHUNK), "d long, k long, words binary")
+        joined = pieces.join(chunks.select(F.col("d").alias("k_source"), F.col("k").alias("k_chunk"), "words").hint("merge"), on("source", "chunk"))
+        out = stored(joined.groupBy("doc").agg(F.collect_list(F.struct("span", "at", "size", "skip", "words")).alias("pieces")), "verified")
+        discard(pieces)
+        return out
 
-    def close(self) -> None:
-        for name in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.runs = []
+
+def cut(texts: DataFrame, pieces: DataFrame | None, id_col: str, kind: str) -> DataFrame:
+    """(id_col, n_words, n_removed, kept_text) of rows (doc, text); without pieces nothing is removed."""
+    if pieces is None:
+        joined = texts.withColumn("pieces", F.lit(None).cast("array<struct<span:bigint,at:bigint,size:int,skip:int,words:binary>>"))
+    else:
+        joined = texts.join(pieces.select(F.col("doc").alias("k_doc"), "pieces").hint("merge"), on("doc"), "left")
+    return arrow_map(joined.select(F.col("doc").cast(kind).alias(id_col), "text", "pieces"), cut_rows([id_col, "n_words", "n_removed", "kept_text"]), f"`{id_col}` {kind}, n_words long, n_removed long, kept_text string")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
@@ -252,24 +433,27 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``width`` words covers whose words also start earlier (smaller id, or same id and earlier place). Windows
     are judged on the input. kept_text has the kept words joined by one space.
 
-    The rows are taken in ``batches`` of about equal size by id, through one index. Ids are integers and unique; rows with a
-    null id are carried whole and are not indexed. Ids are under 2**38 and texts under 2**24 words; others raise. Null, empty and shorter texts lose nothing."""
+    The rows are taken in ``batches`` of about equal size by id, through one index; all batches' grams are taken from the texts in one pass, and their
+    candidates are verified together. Ids are integers of any size, as are texts. Rows that repeat an id count as one document, the one with the least
+    of their texts, and each loses what its own words have of that document's repeats. Rows with a null id are kept whole and are no source for others.
+    Null, empty and shorter texts lose nothing. Other columns are ignored; an empty table gives an empty one."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    index = FingerprintIndex(spark, width, gram, fanout)
-    cuts = rows.select(F.percentile_approx("doc", [k / batches for k in range(1, batches)], 1000).alias("q")).first()["q"] if batches > 1 else []
-    edges = [None, *sorted(set(cuts or [])), None]
-    places = None
-    for lo, hi in zip(edges, edges[1:], strict=False):
-        part, before = rows, None
-        if lo is not None:
-            part, before = part.where(F.col("doc") > lo), rows.where(F.col("doc") <= lo)
-        if hi is not None:
-            part = part.where(F.col("doc") <= hi)
-        found = index.add(part.where("doc is not null"), before)
-        places = found if places is None else places.union(found)
-    index.close()
-    p = places.withColumnRenamed("doc", "d")
     kind = docs.schema[id_col].dataType.simpleString()
-    joined = docs.select(id_col, text_col).join(p, F.col(id_col) == F.col("d"), "left").select(id_col, text_col, "spans")
-    return arrow_map(joined, cut_rows(width, [id_col, "n_words", "n_removed", "kept_text"]), f"`{id_col}` {kind}, n_words long, n_removed long, kept_text string")
+    rows, repeated = by_id(docs, id_col, text_col)
+    index = FingerprintIndex(spark, None, width, gram, fanout)
+    index.keep_texts(rows)
+    texts = spark.table(index.texts[0][0])
+    cuts = texts.select(F.percentile_approx("doc", [k / batches for k in range(1, batches)], 1000).alias("q")).first()["q"] if batches > 1 else []
+    number = sum((F.when(F.col("doc") > c, 1).otherwise(0) for c in sorted(set(cuts or []))), F.lit(0)).cast("int")
+    grams = stored(index.grams(texts).withColumn("batch", number), "grams", by="batch")
+    found = [index.merge(grams.where(F.col("batch") == k).drop("batch")) for k in range(len(set(cuts or [])) + 1)]
+    candidates, unsure = found[0]
+    for more, others in found[1:]:
+        candidates, unsure = candidates.union(more), unsure.union(others)
+    pieces = index.verify(candidates, unsure)
+    discard(grams, *(x for pair in found for x in pair))
+    index._drop(index.runs)
+    if repeated:
+        return cut(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), pieces, id_col, kind)
+    blank = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    return cut(texts, pieces, id_col, kind).union(cut(blank, None, id_col, kind))

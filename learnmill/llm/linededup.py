@@ -192,7 +192,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc, places array<long>): by document, the places of the lines to remove, among its lines with a word. Lines that a
     document repeats itself are not listed, only the first of them is, if it goes."""
     spark = docs.sparkSession
-    texts = by_id(docs, id_col, text_col)
+    texts, _ = by_id(docs, id_col, text_col)
     lines = stored(arrow_map(texts, line_rows, "doc long, place long, h1 long, h2 long"), "lines")
     # a document has a line once here, so the least document's place is one value
     least = lines.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.min_by("place", "doc").alias("place"))

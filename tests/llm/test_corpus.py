@@ -121,26 +121,71 @@ def test_pipeline_stage_drops_edited_near_copies(spark):
     assert len(want) < len(texts) - 25 and neardup.keep_one(docs(spark, [])).count() == 0
 
 
-def test_substring_dedup_matches_brute_force(spark):
-    r = random.Random(2)
-    shared = prose(r, 45)
-    texts = [*AWKWARD, *(f"{prose(r, 30)} {shared} {prose(r, 25)}" for _ in range(5)), shared, prose(r, 19), "z " * 60]
-    seen, want = set(), {}
-    for i, t in enumerate(texts):
-        w = (t or "").encode().split()
-        gone = set()
+def substrings_removed(texts):
+    """By text in order: (words, words removed, kept text), by brute force."""
+    seen, want = set(), []
+    for t in texts:
+        w = (t or "").encode("utf-8", "surrogatepass").split()
+        gone, own = set(), set()
         for s in range(len(w) - 19):
             k = tuple(w[s : s + 20])
-            if k in seen:
+            if k in seen or k in own:
                 gone.update(range(s, s + 20))
-            seen.add(k)
-        want[i] = (len(w), len(gone), b" ".join(x for j, x in enumerate(w) if j not in gone).decode())
+            own.add(k)
+        seen |= own
+        want.append((len(w), len(gone), b" ".join(x for j, x in enumerate(w) if j not in gone).decode()))
+    return want
+
+
+def repeating_texts(r):
+    shared, other = prose(r, 45), prose(r, 150)
+    near = other.split()
+    for i in (30, 60, 61, 90, 149):
+        near[i] = "changed"
+    return [
+        *AWKWARD, *(f"{prose(r, 30)} {shared} {prose(r, 25)}" for _ in range(5)), shared, prose(r, 19), "z " * 60, other, " ".join(near), other, f"{shared} {other[200:]} {shared}",
+        f"x {other} y {other[50:]}", "again and " * 30,
+    ]
+
+
+def test_substring_dedup_matches_brute_force(spark):
+    texts = repeating_texts(random.Random(2))
+    want = dict(enumerate(substrings_removed(texts)))
     for batches in (1, 4):
         got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_text"]) for x in fpindex.dedup_substrings(docs(spark, texts), batches=batches).collect()}
         assert got == want
     assert fpindex.dedup_substrings(docs(spark, [])).count() == 0
 
 
+def test_substring_dedup_takes_any_id_and_repeated_rows(spark):
+    r = random.Random(12)
+    a, b = prose(r, 40), prose(r, 40)
+    texts, ids = [a, f"{a} {b}", b, b, f"{b} tail", b], [-(2**62), 2**62, 2**62 + 1, 2**62 + 1, 2**62 + 2, None]
+    got = sorted((x["doc_id"] or 0, x["n_removed"]) for x in fpindex.dedup_substrings(docs(spark, texts, ids)).collect())
+    assert got == [(-(2**62), 0), (0, 0), (2**62, 40), (2**62 + 1, 40), (2**62 + 1, 40), (2**62 + 2, 40)]
+
+
+def test_fingerprint_index_goes_on_when_opened_again(spark, tmp_path):
+    texts = repeating_texts(random.Random(5))
+    want = substrings_removed(texts)
+    folder = f"{tmp_path}/index"
+    for lo in range(0, len(texts), 6):
+        index = fpindex.FingerprintIndex(spark, folder)  # as another job would
+        assert len(index.texts) == lo // 6
+        batch = spark.createDataFrame(list(enumerate(texts))[lo : lo + 6], "doc long, text string")
+        pieces = index.add(batch)
+        got = {x["doc"]: (x["n_words"], x["n_removed"], x["kept_text"]) for x in fpindex.cut(batch, pieces, "doc", "bigint").collect()}
+        assert got == {i: want[i] for i in range(lo, min(lo + 6, len(texts)))}
+    assert len(index.runs) <= 2
+    index.close()
+
+
+def test_equal_hashes_are_verified_by_words(spark, monkeypatch):
+    words = [f"w{i}".encode() for i in range(40)]
+    span = [{"span": 0, "at": 0, "size": 30, "skip": 0, "words": b" ".join(words[:30])}, {"span": 1, "at": 20, "size": 20, "skip": 0, "words": b" ".join(words[20:39]) + b" other"}]
+    assert fpindex.verified_cover(words, span).sum() == 30
+
+
 def test_line_dedup_matches_brute_force(spark):
     r = random.Random(6)
     lines = [prose(r, 12, 3000) for _ in range(30)]
