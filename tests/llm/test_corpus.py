@@ -295,7 +295,7 @@ def test_html_blocks_and_held_out_pages(spark):
 
 def test_html_features_see_the_whole_block():
     page = f"<div>{'word ' * 100}all rights reserved, accept every cookie</div>"
-    assert {"rights", "asks"} <= set(html.features(html.blocks_of(page)[0]))
+    assert {"says:all rights", "says:cookie"} <= set(html.features(html.blocks_of(page)[0]))
 
 
 def test_toxicity_learns_folds_and_excepts(spark):
