@@ -281,6 +281,51 @@ def test_decontamination_finds_edited_passages(spark):
     assert decontaminate.find_leaks(docs(spark, texts), bench.where("false")).count() == 0
 
 
+def edited(r, words, kind, n):
+    words = list(words)
+    for _ in range(n):
+        how, i = r.choice(["change", "insert", "delete"]) if kind == "mixed" else kind, r.randrange(len(words))
+        if how == "delete":
+            del words[i]
+        else:
+            words[i : i + (how == "change")] = [f"new{r.randrange(10**6)}"]
+    return words
+
+
+def test_decontamination_recall_at_the_full_allowance():
+    """The target: 0.95 at every length and for every kind of edit, with as many edits as are allowed."""
+    r = random.Random(3)
+    for n in (5, 9, 15, 25, 40, 41, 59, 120, 300):
+        items = [(i, prose(r, n, 5000)) for i in range(30)]
+        index, found, tried = decontaminate.BenchmarkIndex(items), 0, 0
+        for kind in ("change", "insert", "delete", "mixed"):
+            texts = [f"{prose(r, 60, 5000)} {' '.join(edited(r, t.split(), kind, decontaminate.allowed(n)))} {prose(r, 60, 5000)}" for _, t in items]
+            got = {(i, k) for i, k, _, _ in index.find_many(texts)}
+            found, tried = found + sum((i, i) in got for i in range(30)), tried + 30
+        assert found >= 0.95 * tried, n
+
+
+def test_decontamination_matches_brute_force(spark):
+    r = random.Random(14)
+    items = [prose(r, n, 40) for n in (1, 2, 4, 5, 8, 12, 20, 45, 20)] + ["w1 w2 w3 w4 w5 w6", "w1 w2 w3 w4 w5 w6", "?!", None]
+    texts = [*AWKWARD, *(prose(r, 60, 40) for _ in range(20)), "w1 w2 w3 w4 w5 w6"]
+    texts += [f"{prose(r, 10, 40)} {' '.join(edited(r, t.split(), 'mixed', decontaminate.allowed(len(t.split()))))}" for t in items[:9]]
+    want = set()
+    for k, t in enumerate(items):
+        item = decontaminate.words_of(t)
+        most = decontaminate.allowed(len(item))
+        for i, text in enumerate(texts):
+            number = {w: j for j, w in enumerate({*item, *decontaminate.words_of(text)})}
+            if item and decontaminate.passage_distance([number[w] for w in item], [number[w] for w in decontaminate.words_of(text)], most)[0] <= most:
+                want.add((i, k))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(docs(spark, texts), bench).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) and {p for p in want if p[1] in (0, 1, 2, 9, 10)} <= got
+    twice = docs(spark, [texts[-1]] * 2 + ["plain text " * 100_000], [5, 5, None])
+    assert {x["doc_id"] for x in decontaminate.find_leaks(twice, bench).collect()} == {5}
+    assert decontaminate.drop_leaking(twice, bench).count() == 1 and decontaminate.drop_leaking(docs(spark, []), bench).count() == 0
+
+
 def test_html_blocks_and_held_out_pages(spark):
     page = "<html><head><title>T</title></head><body><nav><ul><li><a href=x>Home</a></li></ul></nav><article><h1>A &amp; B</h1><p>First  <b>para</b>graph of the text.<p>Second one, with more words in it.</article><aside><p>Other stories today.</p></aside><div class='comments'><p>Nice post.</p></div><footer>&copy; x</footer>"
     rows = [(1, "u", page), (2, None, None), (3, "v", ""), (4, "w", "<p>cut &am"), (5, "x", "<<<>&#0;</p")]
