@@ -12,15 +12,15 @@ from learnmill.llm.common import scratch_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the learned lexicon calls toxic go."""
-    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 0").select(*docs.columns)
+    """Documents that the learned lexicon calls toxic go; all others stay as they are, rows with a null id or text among them. Repeated rows are judged alike, and
+    without labels of both kinds, or documents, nothing goes."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are near an earlier line are cut; n_chars follows the text. No document goes."""
-    cut = linededup.dedup_lines(docs)
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Lines that are near an earlier line are cut; n_chars follows the text. No document goes, and no other column changes. Null texts stay null (and n_chars
+    too), rows with a null id lose only lines that they repeat themselves, rows that repeat an id count as one document."""
+    return linededup.cut_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +29,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage near a benchmark item go."""
+    """Documents that hold a passage near a benchmark item go. Rows with a null id or text stay, as does all without items; rows that repeat an id go together."""
     return decontaminate.drop_leaking(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and what they decode to, as counts and digests."""
+    """Token ids of every text, and what they decode to, as counts and digests, one row for each row. Null and empty texts have no tokens."""
     return bpe.digests(bpe.encode_decode(docs))
 
 
