@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,12 +67,27 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def stored(df: DataFrame, name: str, *, by: str | None = None) -> DataFrame:
-    """df written as Parquet into the shared folder and read again: cuts lineage, and survives lost executors. by: a column
-    that the folder is partitioned by."""
+@contextmanager
+def tidy(spark: SparkSession):
+    """Jobs inside drop their own shuffle files when they end, as what they write is read from its table."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet into the shared folder and read again: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/learnmill-{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._learnmill_path = path
     return out

@@ -6,7 +6,7 @@ is left is a table of distinct lines, each with a number of its own and the plac
 decides. A bucket gives a spanning forest of its links; distributed union-find joins them, and of each component the first
 line (smallest document, then place) stays.
 
-A pair of similarity s meets with probability 1 - (1 - s**rows)**bands: 0.998 at 0.8 by default, 0.09 at 0.3. Buckets
+A pair of similarity s meets with probability 1 - (1 - s**rows)**bands: 0.985 at 0.8 by default, 0.9997 at 0.9, 0.06 at 0.3. Buckets
 with the same members are looked at once. Buckets of more than ``block`` lines are dealt in pairs of blocks.
 """
 
@@ -18,9 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, arrow_map, by_id, connected_components, fresh_name, runs_by_key, shuffle_partitions, stored
+from .common import Forest, arrow_map, by_id, connected_components, discard, fresh_name, runs_by_key, shuffle_partitions, stored
 
-K, BANDS, ROWS, SIMILARITY, BLOCK = 10, 12, 4, 0.8, 128
+K, BANDS, ROWS, SIMILARITY, BLOCK = 10, 8, 4, 0.8, 128
 #: Characters of lines that are hashed at once, and texts that are.
 AT_ONCE, TEXTS = 200_000, 250
 #: Groups of up to this many lines are compared by Python sets, larger ones in arrays.
@@ -93,41 +93,44 @@ def band_keys(lines: list[str], k: int, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def line_rows(batches):
-    """From batches (doc, text) to rows (doc, place, h1, h2): each document's distinct lines; h1, h2 are a line's 128-bit hash."""
-    for batch in batches:
-        for part in range(0, batch.num_rows, TEXTS):
-            some = batch.slice(part, TEXTS)
-            docs, places, digests = [], [], []
-            for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                found = first_lines(text)
-                docs += [doc] * len(found)
-                places += found.values()
-                digests += [xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in found]
-            hashes = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int64()), *(pa.array(np.ascontiguousarray(h)) for h in hashes.T)], names=["doc", "place", "h1", "h2"])
-
-
-def line_texts(k: int, bands: int, rows: int):
-    """From batches (text, lines (place, node)) to rows (node, text, cells): these lines, normalised, with their bands' keys."""
+def line_rows(k: int, bands: int, rows: int):
+    """From batches (doc, text) to rows (doc, place, h1, h2, b0...): each document's distinct lines, a line's 128-bit hash and its bands' keys."""
+    names = ["doc", "place", "h1", "h2", *(f"b{i}" for i in range(bands))]
 
     def run(batches):
         for batch in batches:
             for part in range(0, batch.num_rows, TEXTS):
                 some = batch.slice(part, TEXTS)
-                nodes, texts = [], []
-                for text, wanted in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    lines = normal_lines(text)
-                    for place, node in {(w["place"], w["node"]) for w in wanted}:
-                        if place < len(lines):
-                            nodes.append(node)
-                            texts.append(lines[place])
-                if nodes:
-                    keys = pa.array(np.ascontiguousarray(band_keys(texts, k, bands, rows)).view(np.int64).reshape(-1))
-                    cells = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, bands, dtype=np.int32)), keys)
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string()), cells], names=["node", "text", "cells"])
-
-    return run
+                known: dict[str, int] = {}
+                docs, places, which = [], [], []
+                for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    found = first_lines(text)
+                    docs += [doc] * len(found)
+                    places += found.values()
+                    which += [known.setdefault(x, len(known)) for x in found]
+                if not which:
+                    continue
+                lines, at = list(known), np.array(which)
+                hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines), np.int64).reshape(-1, 2)
+                keys = band_keys(lines, k, bands, rows).view(np.int64)
+                columns = [np.array(docs, np.int64), np.array(places, np.int64), hashes[at, 0], hashes[at, 1], *(keys[at, i] for i in range(bands))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=names)
+
+    return run, ", ".join(f"{n} long" for n in names)
+
+
+def line_texts(batches):
+    """From batches (text, lines (place, node)) to rows (node, text): these lines, normalised."""
+    for batch in batches:
+        for part in range(0, batch.num_rows, TEXTS):
+            some = batch.slice(part, TEXTS)
+            nodes, texts = [], []
+            for text, wanted in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                lines = normal_lines(text)
+                for w in wanted:
+                    nodes.append(w["node"])
+                    texts.append(lines[w["place"]])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], names=["w", "text"])
 
 
 def similar_pairs(lines: list[str], own: list[int] | None, k: int, similarity: float) -> list[tuple[int, int]]:
@@ -193,24 +196,31 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     document repeats itself are not listed, only the first of them is, if it goes."""
     spark = docs.sparkSession
     texts, _ = by_id(docs, id_col, text_col)
-    lines = stored(arrow_map(texts, line_rows, "doc long, place long, h1 long, h2 long"), "lines")
+    run, schema = line_rows(k, bands, rows)
+    lines = stored(arrow_map(texts, run, schema), "lines")
+    keys = [f"b{i}" for i in range(bands)]
     # a document has a line once here, so the least document's place is one value
-    least = lines.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.min_by("place", "doc").alias("place"))
-    distinct = stored(least.select(F.monotonically_increasing_id().alias("node"), "doc", "place"), "distinct")
-    wanted = distinct.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("place", "node")).alias("lines"))
-    found = arrow_map(texts.join(wanted, F.col("doc") == F.col("d")).select("text", "lines"), line_texts(k, bands, rows), "node long, text string, cells array<long>")
-    found = stored(found, "texts")
-    cells = found.select("node", F.explode("cells").alias("cell"))
-    members = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("all_of_them")).where("n > 1")
-    buckets = members.groupBy("n", "least", "all_of_them").agg(F.min("cell").alias("bucket")).select("bucket", "n")
-    met = cells.join(buckets.hint("merge"), F.col("cell") == F.col("bucket")).select("cell", F.col("node").alias("w"), "n")
+    least = lines.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.min_by("place", "doc").alias("place"), *(F.min(x).alias(x) for x in keys))
+    distinct = stored(least.select(F.monotonically_increasing_id().alias("node"), "doc", "place", *keys), "distinct")
+    cells = distinct.select("node", F.explode(F.array(*keys)).alias("cell"))
+    # most cells have one line: counting them first moves nothing but the cells
+    shared = stored(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select(F.col("cell").alias("k"), "n"), "cells")
+    met = stored(cells.join(shared.hint("merge"), F.col("cell") == F.col("k")).select("cell", "node", "n"), "met")
+    alike = met.groupBy("cell").agg(F.min("n").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("all_of_them"))
+    buckets = alike.groupBy("n", "least", "all_of_them").agg(F.min("cell").alias("k")).select("k")
+    met = met.join(buckets.hint("merge"), F.col("cell") == F.col("k"), "left_semi")
+    places = distinct.select("node", "doc", "place").join(met.select(F.col("node").alias("w")).distinct().hint("merge"), F.col("node") == F.col("w"), "left_semi")
+    wanted = places.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("place", "node")).alias("lines"))
+    found = arrow_map(texts.join(wanted, F.col("doc") == F.col("d")).select("text", "lines"), line_texts, "w long, text string")
     blocks = F.ceil(F.col("n") / block).cast("long")
-    dealt = met.join(found.select("node", "text"), F.col("node") == F.col("w")).withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = met.join(found.hint("merge"), F.col("node") == F.col("w")).withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     i, j = F.least("own", "other"), F.greatest("own", "other")
     dealt = dealt.select(F.xxhash64("cell", i, j).alias("cell"), i.alias("i"), j.alias("j"), "own", "node", "text")
     links = arrow_map(dealt.repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell"), bucket_links(k, similarity), "a long, b long")
+    links = stored(links, "links")
+    discard(shared)
     components = stored(connected_components(links), "components")
-    grouped = components.join(distinct, "node").select("component", "node", "doc", "place")
+    grouped = stored(components.join(distinct.select("node", "doc", "place"), "node").select("component", "node", "doc", "place"), "grouped")
     first = grouped.groupBy("component").agg(F.min(F.struct("doc", "place", "node")).alias("first")).select(F.col("first.node").alias("node"))
     later = grouped.join(first, "node", "left_anti").select(F.col("doc").alias("d"), F.col("place").alias("p"))
     kept = distinct.select(F.col("doc").alias("d"), F.col("place").alias("p")).join(later, ["d", "p"], "left_anti")
