@@ -7,13 +7,14 @@ over it also starts earlier, in history or in the batch.
   windows select equal grams, and one hash in seven stands for all windows of a text. (A run with all of them would be 4.8 times
   as large as the text.) The windows that select one gram are consecutive; the words under them are the gram's context.
 - The index is a list of immutable runs: Parquet tables, bucketed and sorted by hash, of (h, c, doc, first, n): hash of the gram, hash of its
-  context, where it was first (document and first window), and how many windows it has. The texts are kept beside them, bucketed by document. A
+  context, where it was first (document and first window), and how many windows it has; the newest run also tells how often its batch had a
+  context, and where an earlier run has it. The texts are kept beside them, bucketed by document. A
   new batch is merge-joined with the runs. Opened again by its folder, the index goes on with the next batch.
 - A context met before is a candidate with all its windows. A gram met before in another context may share some windows: those
   contexts' windows are hashed one by one, and equal ones are candidates.
 - Candidates are verified word by word: neighbouring ones with one source become spans, spans are cut at the chunks of ``CHUNK`` words of their
   source, the chunks that are wanted are fetched once each, and a span with an unequal word is dropped.
-- The batch's new contexts become a run; contexts seen before are not indexed again, so the index grows with distinct
+- The batch's contexts become a run; those seen before are left out when runs are compacted, so the index grows with distinct
   text. When there are ``fanout`` runs, they are compacted into one before the next batch.
 
 A hot context is one row for each map task before its shuffle, and joins that meet it can be split by adaptive
@@ -31,9 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, by_id, delete_path, discard, scratch_dir, shuffle_partitions, split_words, stored
+from .common import arrow_map, by_id, delete_path, discard, scratch_dir, shuffle_partitions, split_words, stored, tidy
 
-WIDTH, GRAM, BATCHES, FANOUT, CHUNK = 20, 8, 3, 2, 64
+WIDTH, GRAM, BATCHES, FANOUT, CHUNK = 20, 8, 2, 2, 64
 #: Most words in a worker's memo of hashes, which is emptied when full and after each task; texts handled at once.
 MEMO, TEXTS = 300_000, 250
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -276,7 +277,7 @@ class FingerprintIndex:
 
     FingerprintIndex(spark, folder) makes the index, or opens the one that is there; without a folder the index is for this job alone. Each batch's ids must be over those of all earlier ones."""
 
-    RUN, TEXT = "h BIGINT, c BIGINT, doc BIGINT, first BIGINT, n INT", "doc BIGINT, text STRING"
+    RUN, TEXT = "h BIGINT, c BIGINT, doc BIGINT, first BIGINT, n INT, times BIGINT, old_doc BIGINT, old_first BIGINT", "doc BIGINT, text STRING"
 
     def __init__(self, spark, folder: str | None = None, width: int = WIDTH, gram: int = GRAM, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.width, self.gram, self.fanout = spark, width, gram, max(2, fanout)
@@ -321,9 +322,11 @@ class FingerprintIndex:
         self.version += 1
 
     def _write(self, rows: DataFrame, kind: str, *keys: str) -> tuple[str, str]:
+        """A table bucketed and sorted by these keys, of rows that are dealt by them."""
         name = f"learnmill_{kind}_{uuid.uuid4().hex}"
         path = f"{self.folder}/{name}"
-        rows.repartition(self.buckets, *keys).write.bucketBy(self.buckets, *keys).sortBy(*keys).format("parquet").option("path", path).saveAsTable(name)
+        with tidy(self.spark):
+            rows.write.bucketBy(self.buckets, *keys).sortBy(*keys).format("parquet").option("path", path).saveAsTable(name)
         return name, path
 
     def _drop(self, tables) -> None:
@@ -337,10 +340,16 @@ class FingerprintIndex:
             out = out.union(self.spark.table(name))
         return out
 
+    def _history(self) -> DataFrame:
+        """Each context of the runs once: (h, c, doc, first, n)."""
+        return self._table(self.runs).where("old_doc is null").select("h", "c", "doc", "first", "n")
+
     def compact(self) -> None:
         """All runs become one."""
         if len(self.runs) > 1:
-            old, self.runs = self.runs, [self._write(self._table(self.runs), "run", "h", "c")]
+            known = [F.lit(None).cast("long").alias(x) for x in ("old_doc", "old_first")]
+            merged = self._history().withColumns({"times": F.lit(1).cast("long")}).select("*", *known)
+            old, self.runs = self.runs, [self._write(merged.repartition(self.buckets, "h", "c"), "run", "h", "c")]
             self._list()
             self._drop(old)
 
@@ -361,7 +370,7 @@ class FingerprintIndex:
         return found.join(batch, on("doc"), "left_semi")
 
     def keep_texts(self, docs: DataFrame) -> None:
-        self.texts.append(self._write(docs.select("doc", "text"), "text", "doc"))
+        self.texts.append(self._write(docs.select("doc", "text").repartition(self.buckets, "doc"), "text", "doc"))
         self._list()
 
     def grams(self, texts: DataFrame) -> DataFrame:
@@ -372,31 +381,30 @@ class FingerprintIndex:
         (doc, first, n) whose windows must be compared one by one."""
         if len(self.runs) >= self.fanout:
             self.compact()
-        if not hasattr(grams, "_learnmill_path"):
-            grams = stored(grams, "grams")
+        grams = stored(grams, "grams")
         contexts = grams.where("own < 0").groupBy("h", "c").agg(F.min("doc").alias("doc"), F.min_by("first", "doc").alias("first"), F.min("n").alias("n"), F.count("*").alias("times"))
-        if self.runs:
-            old = self._table(self.runs).select(F.col("h").alias("k_h"), F.col("c").alias("k_c"), F.col("doc").alias("old_doc"), F.col("first").alias("old_first"))
+        history = self._history() if self.runs else None
+        if history is not None:
+            old = history.select(F.col("h").alias("k_h"), F.col("c").alias("k_c"), F.col("doc").alias("old_doc"), F.col("first").alias("old_first"))
             contexts = contexts.join(old.hint("merge"), on("h", "c"), "left").drop("k_h", "k_c")
         else:
             contexts = contexts.withColumns({"old_doc": F.lit(None).cast("long"), "old_first": F.lit(None).cast("long")})
-        contexts = stored(contexts, "contexts")
-        history = self._table(self.runs) if self.runs else None
-        self.runs.append(self._write(contexts.where("old_doc is null").select("h", "c", "doc", "first", "n"), "run", "h", "c"))
+        self.runs.append(self._write(contexts, "run", "h", "c"))
         self._list()
-        run = self.spark.table(self.runs[-1][0])
+        contexts = self.spark.table(self.runs[-1][0])
         again = contexts.where("old_doc is not null or times > 1").select(*own_key("h", "c"), F.coalesce("old_doc", "doc").alias("source"), F.coalesce("old_first", "first").alias("start"))
         met = grams.where("own < 0").join(again.hint("merge"), on("h", "c")).where("doc <> source").select("doc", F.col("first").alias("at"), "n", "source", "start")
         itself = grams.where("own >= 0").select("doc", F.col("first").alias("at"), "n", F.col("doc").alias("source"), F.col("own").alias("start"))
         candidates = stored(met.union(itself), "candidates")
+        discard(grams)
+        run = contexts.where("old_doc is null").select("h", "doc", "first", "n")
         shared = run.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
         if history is not None:
-            theirs = history.select(F.col("h").alias("k_h"))
-            shared = shared.union(run.select("h").distinct().join(theirs.hint("merge"), on("h"), "left_semi")).distinct()
+            shared = shared.union(run.select("h").distinct().join(history.select(F.col("h").alias("k_h")).hint("merge"), on("h"), "left_semi")).distinct()
         shared = stored(shared.select(*own_key("h")), "shared")
-        both = run if history is None else run.union(history)
+        both = run if history is None else run.union(history.select("h", "doc", "first", "n"))
         unsure = stored(both.join(shared.hint("merge"), on("h"), "left_semi").select("doc", "first", "n"), "unsure")
-        discard(grams, contexts, shared)
+        discard(shared)
         return candidates, unsure
 
     def verify(self, candidates: DataFrame, unsure: DataFrame) -> DataFrame:
@@ -433,8 +441,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``width`` words covers whose words also start earlier (smaller id, or same id and earlier place). Windows
     are judged on the input. kept_text has the kept words joined by one space.
 
-    The rows are taken in ``batches`` of about equal size by id, through one index; all batches' grams are taken from the texts in one pass, and their
-    candidates are verified together. Ids are integers of any size, as are texts. Rows that repeat an id count as one document, the one with the least
+    The rows are taken in ``batches`` of about equal size by id, through one index; every task has its share of each batch, as the texts are dealt by
+    document. The candidates of all batches are verified together. Ids are integers of any size, as are texts. Rows that repeat an id count as one document, the one with the least
     of their texts, and each loses what its own words have of that document's repeats. Rows with a null id are kept whole and are no source for others.
     Null, empty and shorter texts lose nothing. Other columns are ignored; an empty table gives an empty one."""
     spark = docs.sparkSession
@@ -444,14 +452,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     index.keep_texts(rows)
     texts = spark.table(index.texts[0][0])
     cuts = texts.select(F.percentile_approx("doc", [k / batches for k in range(1, batches)], 1000).alias("q")).first()["q"] if batches > 1 else []
-    number = sum((F.when(F.col("doc") > c, 1).otherwise(0) for c in sorted(set(cuts or []))), F.lit(0)).cast("int")
-    grams = stored(index.grams(texts).withColumn("batch", number), "grams", by="batch")
-    found = [index.merge(grams.where(F.col("batch") == k).drop("batch")) for k in range(len(set(cuts or [])) + 1)]
+    edges, found = [None, *sorted(set(cuts or [])), None], []
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        part = texts if lo is None else texts.where(F.col("doc") > lo)
+        found.append(index.merge(index.grams(part if hi is None else part.where(F.col("doc") <= hi))))
     candidates, unsure = found[0]
     for more, others in found[1:]:
         candidates, unsure = candidates.union(more), unsure.union(others)
     pieces = index.verify(candidates, unsure)
-    discard(grams, *(x for pair in found for x in pair))
+    discard(*(x for pair in found for x in pair))
     index._drop(index.runs)
     if repeated:
         return cut(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), pieces, id_col, kind)
