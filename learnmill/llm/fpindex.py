@@ -28,30 +28,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, by_id, delete_path, discard, scratch_dir, shuffle_partitions, split_words, stored, tidy
+from .common import SPACE_CHARS, arrow_map, by_id, delete_path, discard, scratch_dir, shuffle_partitions, split_words, stored, tidy
 
 WIDTH, GRAM, BATCHES, FANOUT, CHUNK = 20, 8, 2, 2, 64
-#: Most words in a worker's memo of hashes, which is emptied when full and after each task; texts handled at once.
-MEMO, TEXTS = 300_000, 250
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Texts handled at once, and the bytes of text (one text at least) and the bytes hashed at once.
+TEXTS, BYTES, BLOCK = 250, 2_000_000, 1 << 20
+_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 GRAMS = "h long, c long, doc long, first long, n int, own long"
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[*SPACE_CHARS.encode()]] = True
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, made when first asked for."""
+class Powers:
+    """A multiplier's powers and those of its inverse modulo 2**64, as many as were needed so far, BLOCK at most."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word, 1)
-        return h
+    def __init__(self, base: np.uint64):
+        self.base, self.inverse = base, np.uint64(pow(int(base), -1, 1 << 64))
+        self.up = self.down = np.ones(1, np.uint64)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n < len(self.up):
+            return self.up[: n + 1], self.down[: n + 1]
+        up, down = np.full(n + 1, self.base), np.full(n + 1, self.inverse)
+        up[0] = down[0] = np.uint64(1)
+        up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        if n <= BLOCK:
+            self.up, self.down = up, down
+        return up, down
+
+
+_OF_BYTES, _OF_WORDS = Powers(_M3), Powers(_M1)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -59,54 +69,92 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of ``size`` values."""
-    n = len(hashes) - size + 1
-    out = np.zeros(n, np.uint64)
+def block_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word (a polynomial over its bytes), and where it starts. The data end in a space."""
+    a = np.frombuffer(data, np.uint8)
+    space = _IS_SPACE[a]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], space])))
+    starts, ends = edge[::2], edge[1::2]
+    up, down = _OF_BYTES.to(len(a))
+    sums = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _M2), starts
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one text after another, and where each text's begin (with the end of the last)."""
+    coded = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    data = b"\n".join([*coded, b""])
+    text_at = np.concatenate([[0], np.cumsum([len(c) + 1 for c in coded])])
+    hashes, starts, lo = [], [], 0
+    while lo < len(data):
+        hi = min(len(data), lo + BLOCK)
+        while hi < len(data) and not _IS_SPACE[data[hi - 1]]:
+            hi += 1  # a block ends with a space
+        h, at = block_hashes(data[lo:hi])
+        hashes.append(h)
+        starts.append(at + lo)
+        lo = hi
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), text_at)
+
+
+def rolled(hashes: np.ndarray, size: int, at: np.ndarray | None = None) -> np.ndarray:
+    """A hash of each run of ``size`` values, or of those that begin at these places."""
+    n = max(0, len(hashes) - size + 1)
+    out = np.zeros(n if at is None else len(at), np.uint64)
     for i in range(size):
-        out = out * _M1 + hashes[i : i + n]
+        out = out * _M1 + (hashes[i : i + n] if at is None else hashes[at + i])
     return mixed(out)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_M1 to the powers 0..n, and their inverses modulo 2**64."""
-    inverse = np.uint64(pow(int(_M1), -1, 1 << 64))
-    up, down = np.full(n + 1, _M1), np.full(n + 1, inverse)
-    up[0] = down[0] = np.uint64(1)
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def selected(hashes: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(gram hash, context hash, first window, number of windows) of the grams that the windows select."""
+def selected(hashes: np.ndarray, begins: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(gram hash, context hash, text, first window, number of windows) of the grams that the windows of texts select."""
+    if len(hashes) < width:
+        return tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+    text = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
     grams = rolled(hashes, gram)
     span = width - gram + 1
     view = np.lib.stride_tricks.sliding_window_view(grams, span)
     place = span - 1 - np.argmin(view[:, ::-1], axis=1) + np.arange(len(view))
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    n = np.diff(np.append(first, len(place)))
-    up, down = powers(len(hashes))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes) * up[:-1], dtype=np.uint64)])
+    inside = text[: len(view)] == text[width - 1 :]  # windows of one text
+    new = inside.copy()
+    new[1:] &= (place[1:] != place[:-1]) | ~inside[:-1]
+    first = np.flatnonzero(new)
+    # a gram's windows end where the next one's begin or the text ends
+    n = np.minimum(np.append(first[1:], len(view)), begins[text[first] + 1] - width + 1) - first
+    up, down = _OF_WORDS.to(len(hashes))
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mixed(hashes) * up[:-1], out=sums[1:])
     context = (sums[first + n + width - 1] - sums[first]) * down[first] + n.astype(np.uint64) * _M2
-    return grams[place[first]], mixed(context), first, n
+    return grams[place[first]], mixed(context), text[first], first - begins[text[first]], n
 
 
-def first_of_equals(*keys: np.ndarray) -> np.ndarray:
-    """For each place, the first place with equal keys."""
-    order = np.lexsort((np.arange(len(keys[0])), *keys))
-    new = np.ones(len(order), bool)
-    for k in keys:
-        new[1:] &= k[order[1:]] == k[order[:-1]]
-    new[1:] = ~new[1:]
-    new[:1] = True
+def first_of_equals(keys: np.ndarray) -> np.ndarray:
+    """For each place, the first place with an equal key."""
+    order = np.argsort(keys, kind="stable")
+    if not len(order):
+        return order
+    new = np.append(True, keys[order[1:]] != keys[order[:-1]])
     out = np.empty(len(order), np.int64)
     out[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     return out
 
 
-def parts_of(batches: Iterator, size: int = TEXTS) -> Iterator:
+def parts_of(batches: Iterator, size: int = TEXTS, text: int | None = None) -> Iterator:
+    """The batches in parts of at most ``size`` rows; with text, also of at most BYTES of that column, or one row."""
     for batch in batches:
-        for start in range(0, batch.num_rows, size):
-            yield batch.slice(start, size)
+        start = 0
+        while start < batch.num_rows:
+            stop = min(size, batch.num_rows - start)
+            if text is not None:
+                column = batch.column(text).slice(start, stop)
+                length = np.cumsum([0 if x is None else x for x in pc.binary_length(column).to_pylist()])
+                stop = max(1, int(np.searchsorted(length, BYTES, "right")))
+                stop = min(stop, len(length))
+            yield batch.slice(start, stop)
+            start += stop
 
 
 def arrays(parts: list[list[np.ndarray]], kinds: list, names: list[str]) -> pa.RecordBatch:
@@ -119,19 +167,13 @@ def gram_rows(width: int, gram: int):
     kinds, names = [np.int64, np.int64, np.int64, np.int64, np.int32, np.int64], ["h", "c", "doc", "first", "n", "own"]
 
     def run(batches):
-        memo = WordHashes()
-        for batch in parts_of(batches):
-            parts: list[list[np.ndarray]] = [[] for _ in names]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = split_words(text)
-                if len(words) < width:
-                    continue
-                h, c, first, n = selected(memo.of(words), width, gram)
-                same = first_of_equals(h, c)
-                own = np.where(same < np.arange(len(h)), first[same], -1)
-                for p, x in zip(parts, (h, c, np.full(len(h), doc), first, n, own), strict=True):
-                    p.append(x)
-            yield arrays(parts, kinds, names)
+        for batch in parts_of(batches, text=1):
+            hashes, begins = word_hashes(batch.column(1).to_pylist())
+            h, c, text, first, n = selected(hashes, begins, width, gram)
+            doc = batch.column(0).to_numpy(zero_copy_only=False)[text]
+            same = first_of_equals(h ^ mixed(c) ^ mixed(text.astype(np.uint64) * _M1))
+            own = np.where(same < np.arange(len(h)), first[same], -1)
+            yield arrays([[x] for x in (h, c, doc, first, n, own)], kinds, names)
 
     return run
 
@@ -153,15 +195,15 @@ def window_rows(width: int):
     """From batches (doc, text, spans) to rows (w, doc, at, own): the windows of the spans, own as in gram_rows."""
 
     def run(batches):
-        memo = WordHashes()
-        for batch in parts_of(batches):
+        for batch in parts_of(batches, text=1):
+            hashes, begins = word_hashes(batch.column(1).to_pylist())
             parts: list[list[np.ndarray]] = [[], [], [], []]
-            for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                words = split_words(text)
-                if len(words) < width:
+            for i, (doc, spans) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
+                own = hashes[begins[i] : begins[i + 1]]
+                if len(own) < width:
                     continue
-                at = np.flatnonzero(covered(*fields(spans, "first", "n"), len(words) - width + 1))
-                w = rolled(memo.of(words), width)[at]
+                at = np.flatnonzero(covered(*fields(spans, "first", "n"), len(own) - width + 1))
+                w = rolled(own, width, at)
                 same = first_of_equals(w)
                 for p, x in zip(parts, (w, np.full(len(w), doc), at, np.where(same < np.arange(len(w)), at[same], -1)), strict=True):
                     p.append(x)
@@ -232,8 +274,9 @@ def verified_cover(words: list[bytes], pieces: list[dict]) -> np.ndarray:
     """Which words are under a span whose words all equal its source's."""
     bad, good = set(), []
     for p in pieces:
-        theirs = p["words"].split()[p["skip"] : p["skip"] + p["size"]]
-        if words[p["at"] : p["at"] + p["size"]] == theirs and len(theirs) == p["size"]:
+        own = words[p["at"] : p["at"] + p["size"]]
+        theirs = p["words"]
+        if len(own) == p["size"] and (b" ".join(own) == theirs or own == theirs.split(b" ")[p["skip"] : p["skip"] + p["size"]]):
             good.append(p)
         else:
             bad.add(p["span"])
@@ -364,9 +407,9 @@ class FingerprintIndex:
     def add(self, docs: DataFrame) -> DataFrame:
         """Takes in a batch (doc, text) and returns its repeated, verified pieces, PIECES with the words of their sources, by document: (doc, pieces)."""
         self.keep_texts(docs)
-        candidates, unsure = self.merge(self.grams(self.spark.table(self.texts[-1][0])))
+        candidates = self.merge(self.grams(self.spark.table(self.texts[-1][0])))
         batch = self.spark.table(self.texts[-1][0]).select(F.col("doc").alias("k_doc"))
-        found = self.verify(candidates, unsure)
+        found = self.verify(candidates, self.unsure(newest=True))
         return found.join(batch, on("doc"), "left_semi")
 
     def keep_texts(self, docs: DataFrame) -> None:
@@ -376,9 +419,8 @@ class FingerprintIndex:
     def grams(self, texts: DataFrame) -> DataFrame:
         return arrow_map(texts.select("doc", "text"), gram_rows(self.width, self.gram), GRAMS)
 
-    def merge(self, grams: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Merge-joins a batch's grams with the runs and makes its new contexts a run. Returns candidates (doc, at, n, source, start), and the contexts
-        (doc, first, n) whose windows must be compared one by one."""
+    def merge(self, grams: DataFrame) -> DataFrame:
+        """Merge-joins a batch's grams with the runs and makes its contexts a run. Returns candidates (doc, at, n, source, start)."""
         if len(self.runs) >= self.fanout:
             self.compact()
         grams = stored(grams, "grams")
@@ -397,15 +439,20 @@ class FingerprintIndex:
         itself = grams.where("own >= 0").select("doc", F.col("first").alias("at"), "n", F.col("doc").alias("source"), F.col("own").alias("start"))
         candidates = stored(met.union(itself), "candidates")
         discard(grams)
-        run = contexts.where("old_doc is null").select("h", "doc", "first", "n")
-        shared = run.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
-        if history is not None:
-            shared = shared.union(run.select("h").distinct().join(history.select(F.col("h").alias("k_h")).hint("merge"), on("h"), "left_semi")).distinct()
+        return candidates
+
+    def unsure(self, newest: bool) -> DataFrame:
+        """The contexts (doc, first, n) whose windows must be compared one by one, as their gram stands in other contexts too: of all runs, or of those
+        grams that the newest run has."""
+        contexts = self._history()
+        shared = contexts.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
+        if newest:
+            theirs = self.spark.table(self.runs[-1][0]).where("old_doc is null").select(F.col("h").alias("k_h")).distinct()
+            shared = shared.join(theirs.hint("merge"), on("h"), "left_semi")
         shared = stored(shared.select(*own_key("h")), "shared")
-        both = run if history is None else run.union(history.select("h", "doc", "first", "n"))
-        unsure = stored(both.join(shared.hint("merge"), on("h"), "left_semi").select("doc", "first", "n"), "unsure")
+        out = stored(contexts.select("h", "doc", "first", "n").join(shared.hint("merge"), on("h"), "left_semi").select("doc", "first", "n"), "unsure")
         discard(shared)
-        return candidates, unsure
+        return out
 
     def verify(self, candidates: DataFrame, unsure: DataFrame) -> DataFrame:
         """(doc, pieces): candidates, and equal windows of the unsure contexts, as pieces with the words to compare them with."""
@@ -456,11 +503,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for lo, hi in zip(edges, edges[1:], strict=False):
         part = texts if lo is None else texts.where(F.col("doc") > lo)
         found.append(index.merge(index.grams(part if hi is None else part.where(F.col("doc") <= hi))))
-    candidates, unsure = found[0]
-    for more, others in found[1:]:
-        candidates, unsure = candidates.union(more), unsure.union(others)
-    pieces = index.verify(candidates, unsure)
-    discard(*(x for pair in found for x in pair))
+    candidates = found[0]
+    for more in found[1:]:
+        candidates = candidates.union(more)
+    pieces = index.verify(candidates, index.unsure(newest=False))
+    discard(*found)
     index._drop(index.runs)
     if repeated:
         return cut(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), pieces, id_col, kind)
