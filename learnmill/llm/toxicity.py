@@ -190,9 +190,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 own = {*words, *more}
                 for e in {f" {w} " for w in own} | {f" {b}" for w in own for b in beginnings(w, stems)}:
                     seen.setdefault(e, [0, 0])[y] += 1
-            if len(seen) > 200_000:
-                yield counts_batch(seen)
-                seen = {}
+                if len(seen) > 100_000:
+                    yield counts_batch(seen)
+                    seen = {}
         yield counts_batch(seen)
 
     counted = arrow_map(texts, count, "e string, pos long, neg long").groupBy("e").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
