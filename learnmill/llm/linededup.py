@@ -12,19 +12,21 @@ with the same members are looked at once. Buckets of more than ``block`` lines a
 
 from __future__ import annotations
 
+from itertools import chain, groupby
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, arrow_map, by_id, connected_components, discard, fresh_name, runs_by_key, shuffle_partitions, stored
+from .common import arrow_map, by_id, connected_components, discard, fresh_name, shuffle_partitions, stored
 
 K, BANDS, ROWS, SIMILARITY, BLOCK = 10, 8, 4, 0.8, 128
 #: Characters of lines that are hashed at once, and texts that are.
-AT_ONCE, TEXTS = 200_000, 250
-#: Groups of up to this many lines are compared by Python sets, larger ones in arrays.
-FEW = 4
+AT_ONCE, TEXTS = 64_000, 250
+#: Comparisons by line in a group from which on the group is compared in arrays.
+PATIENCE = 8
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -59,9 +61,18 @@ def shingle_codes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer("".join(x.ljust(k, "\0") for x in lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.array([max(k, len(x)) for x in lines])
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    h = np.zeros(len(codes) - k + 1, np.uint64)
-    for s in range(k):
-        h = h * _M1 + codes[s : s + len(h)]
+    # the polynomial over k characters, put together from those over 1, 2, 4... characters
+    h, done, power, size = None, 0, codes, 1
+    while True:
+        if k & size:
+            tail = power[done:]
+            h = power if h is None else h[: len(tail)] * np.uint64(pow(int(_M1), size, 1 << 64)) + tail
+            done += size
+        if done == k:
+            break
+        power = power[: len(power) - size] * np.uint64(pow(int(_M1), size, 1 << 64)) + power[size:]
+        size *= 2
+    h = h[: len(codes) - k + 1]
     h = (h ^ (h >> np.uint64(29))) * _M2
     valid = np.ones(len(codes), bool)
     for s in range(1, k):
@@ -81,9 +92,11 @@ def band_keys(lines: list[str], k: int, bands: int, rows: int) -> np.ndarray:
             j += 1
         h, at = shingle_codes(lines[i:j], k)
         h = (h >> np.uint64(32)).astype(np.uint32)
-        key = np.zeros(j - i, np.uint64)
+        turned, key = np.empty_like(h), np.zeros(j - i, np.uint64)
         for p in range(bands * rows):
-            key = key * _M1 + np.minimum.reduceat(h * a[p] + b[p], at).astype(np.uint64) + np.uint64(1 + p // rows)
+            np.multiply(h, a[p], out=turned)
+            np.add(turned, b[p], out=turned)
+            key = key * _M1 + np.minimum.reduceat(turned, at).astype(np.uint64) + np.uint64(1 + p // rows)
             if p % rows == rows - 1:
                 key ^= key >> np.uint64(30)
                 key *= _M2
@@ -133,28 +146,45 @@ def line_texts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], names=["w", "text"])
 
 
-def similar_pairs(lines: list[str], own: list[int] | None, k: int, similarity: float) -> list[tuple[int, int]]:
-    """Pairs of places of similar lines, enough to connect all of them; with own, only pairs of two blocks count."""
-    if len(lines) <= FEW:
-        sets, forest, links = [shingles(x, k) for x in lines], Forest(len(lines)), []
-        for y in range(1, len(lines)):
-            for x in range(y):
-                if (own is None or own[x] != own[y]) and forest.find(x) != forest.find(y):
-                    both = len(sets[x] & sets[y])
-                    if both >= similarity * (len(sets[x]) + len(sets[y]) - both) - 1e-9:
-                        forest.join(x, y)
-                        links.append((x, y))
-        return links
+def shingle_sets(lines: list[str], k: int) -> list[set[int]]:
+    """The runs of k characters of each line, as 64-bit hashes."""
     codes, starts = shingle_codes(lines, k)
-    line_of = np.repeat(np.arange(len(lines)), np.diff(np.append(starts, len(codes))))
-    _, number = np.unique(codes, return_inverse=True)
-    pairs = np.unique(line_of * np.int64(len(codes)) + number)  # each line's set
-    line_of, number = pairs // len(codes), pairs % len(codes)
-    starts = np.searchsorted(line_of, np.arange(len(lines)))
-    sizes = np.diff(np.append(starts, len(number)))
+    codes, ends = codes.tolist(), [*starts[1:].tolist(), len(codes)]
+    return [set(codes[a:z]) for a, z in zip(starts.tolist(), ends, strict=True)]
+
+
+def similar_pairs(sets: list[set[int]], own: list[int] | None, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of places of similar sets, enough to connect all of them; with own, only pairs of two blocks count."""
+    label, links, left = list(range(len(sets))), [], PATIENCE * len(sets)
+    for y in range(1, len(sets)):
+        n_y, mine = len(sets[y]), sets[y]
+        for x in range(y):
+            if label[x] == label[y] or own is not None and own[x] == own[y]:
+                continue
+            n_x = len(sets[x])
+            if min(n_x, n_y) < similarity * max(n_x, n_y) - 1e-9:
+                continue
+            left -= 1
+            both = len(sets[x] & mine)
+            if both >= similarity * (n_x + n_y - both) - 1e-9:
+                links.append((x, y))
+                mine_label, label_x = label[y], label[x]
+                for i in range(y + 1):
+                    if label[i] == mine_label:
+                        label[i] = label_x
+        if left < 0:
+            return similar_pairs_in_arrays(sets, own, similarity)
+    return links
+
+
+def similar_pairs_in_arrays(sets: list[set[int]], own: list[int] | None, similarity: float) -> list[tuple[int, int]]:
+    """The same for groups with many comparisons: each set is compared with all earlier ones at once."""
+    sizes = np.array([len(s) for s in sets])
+    known, number = np.unique(np.fromiter(chain.from_iterable(sets), np.uint64, int(sizes.sum())), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     block = None if own is None else np.array(own)
-    label, marked, links = np.arange(len(lines)), np.zeros(len(codes), bool), []
-    for y in range(1, len(lines)):
+    label, marked, links = np.arange(len(sets)), np.zeros(len(known), bool), []
+    for y in range(1, len(sets)):
         worth = label[:y] != label[y]
         if block is not None:
             worth &= block[:y] != block[y]
@@ -175,12 +205,21 @@ def similar_pairs(lines: list[str], own: list[int] | None, k: int, similarity: f
 def bucket_links(k: int, similarity: float):
     """From batches sorted by cell to links (a, b) between lines, enough to connect each cell's links."""
 
+    def rows_with_sets(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 250):
+                some = batch.slice(start, 250)
+                rows = some.drop_columns("text").to_pylist()
+                for row, own in zip(rows, shingle_sets(some.column("text").to_pylist(), k), strict=True):
+                    row["set"] = own
+                    yield row
+
     def run(batches):
         a, b = [], []
-        for group in runs_by_key((s for batch in batches for s in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500))), "cell"):
+        for _, group in groupby(rows_with_sets(batches), lambda r: r["cell"]):
             rows = list({r["node"]: r for r in group}.values())
             own = [r["own"] for r in rows] if rows[0]["i"] != rows[0]["j"] else None
-            for x, y in similar_pairs([r["text"] for r in rows], own, k, similarity):
+            for x, y in similar_pairs([r["set"] for r in rows], own, similarity):
                 a.append(rows[x]["node"])
                 b.append(rows[y]["node"])
             if len(a) > 50_000:

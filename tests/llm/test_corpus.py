@@ -254,8 +254,13 @@ def test_line_pairs_in_arrays_equal_those_of_sets():
     own = [r.randrange(2) for _ in lines]
     for block in (None, own):
         forest, want = Forest(len(lines)), Forest(len(lines))
-        for x, y in linededup.similar_pairs(lines, block, 10, 0.8):
+        hashed = linededup.shingle_sets(lines, 10)
+        for x, y in linededup.similar_pairs(hashed, block, 0.8):
             forest.join(x, y)
+        arrays = Forest(len(lines))
+        for x, y in linededup.similar_pairs_in_arrays(hashed, block, 0.8):
+            arrays.join(x, y)
+        assert [forest.find(i) for i in range(len(lines))] == [arrays.find(i) for i in range(len(lines))]
         sets = [linededup.shingles(x) for x in lines]
         for y in range(len(lines)):
             for x in range(y):
