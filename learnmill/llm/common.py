@@ -69,17 +69,20 @@ def fresh_name(df: DataFrame, name: str) -> str:
 
 @contextmanager
 def tidy(spark: SparkSession):
-    """Jobs inside drop their own shuffle files when they end, as what they write is read from its table."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    """Jobs inside drop their own shuffle files when they end, as what they write is read from its table, and hand at most 2000 rows to Python at once."""
+    records = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", records: str(min(2000, int(spark.conf.get(records, "10000"))))}
+    before = {key: spark.conf.get(key, None) for key in own}
+    for key, value in own.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -36,7 +36,7 @@ from .common import SPACE_CHARS, arrow_map, by_id, delete_path, discard, scratch
 
 WIDTH, GRAM, BATCHES, FANOUT, CHUNK = 20, 8, 2, 2, 64
 #: Texts handled at once, and the bytes of text (one text at least) and the bytes hashed at once.
-TEXTS, BYTES, BLOCK = 250, 2_000_000, 1 << 20
+TEXTS, BYTES, BLOCK = 250, 500_000, 1 << 18
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 GRAMS = "h long, c long, doc long, first long, n int, own long"
 _IS_SPACE = np.zeros(256, bool)
@@ -369,7 +369,8 @@ class FingerprintIndex:
         name = f"learnmill_{kind}_{uuid.uuid4().hex}"
         path = f"{self.folder}/{name}"
         with tidy(self.spark):
-            rows.write.bucketBy(self.buckets, *keys).sortBy(*keys).format("parquet").option("path", path).saveAsTable(name)
+            # hashes don't repeat enough for a dictionary
+            rows.write.bucketBy(self.buckets, *keys).sortBy(*keys).format("parquet").option("path", path).option("parquet.enable.dictionary", "false").saveAsTable(name)
         return name, path
 
     def _drop(self, tables) -> None:
@@ -508,8 +509,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         candidates = candidates.union(more)
     pieces = index.verify(candidates, index.unsure(newest=False))
     discard(*found)
-    index._drop(index.runs)
     if repeated:
-        return cut(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), pieces, id_col, kind)
+        out = stored(cut(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), pieces, id_col, kind), "kept")
+        index.close()
+        discard(pieces)
+        return out
     blank = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return cut(texts, pieces, id_col, kind).union(cut(blank, None, id_col, kind))
+    out = stored(cut(texts, pieces, id_col, kind).union(cut(blank, None, id_col, kind)), "kept")
+    index.close()
+    discard(pieces)
+    return out
