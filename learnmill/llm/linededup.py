@@ -12,21 +12,19 @@ with the same members are looked at once. Buckets of more than ``block`` lines a
 
 from __future__ import annotations
 
-from itertools import chain, groupby
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, by_id, connected_components, discard, fresh_name, shuffle_partitions, stored
+from .common import Forest, arrow_map, by_id, connected_components, discard, fresh_name, runs_by_key, shuffle_partitions, stored
 
 K, BANDS, ROWS, SIMILARITY, BLOCK = 10, 8, 4, 0.8, 128
 #: Characters of lines that are hashed at once, and texts that are.
 AT_ONCE, TEXTS = 64_000, 250
-#: Comparisons by line in a group from which on the group is compared in arrays.
-PATIENCE = 8
+#: Groups of up to this many lines are compared many groups at once: at most 2**ROW_BITS lines, and about this many characters.
+SMALL, ROW_BITS, CHARS = 16, 9, 200_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -146,45 +144,50 @@ def line_texts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], names=["w", "text"])
 
 
-def shingle_sets(lines: list[str], k: int) -> list[set[int]]:
-    """The runs of k characters of each line, as 64-bit hashes."""
+def similar_in_small_groups(lines: list[str], groups: list[int], own: list[int | None], k: int, similarity: float) -> list[tuple[int, int]]:
+    """Places of similar lines of one group, enough to connect those of each group; own, where not None, is a block, and only pairs of two
+    blocks count. groups is in order and has few lines each; at most 2**ROW_BITS lines. All pairs are counted at once: a run's
+    hash is made the group's own, sorted with the line's place in its lowest bits, and equal neighbours are counted by pair."""
     codes, starts = shingle_codes(lines, k)
-    codes, ends = codes.tolist(), [*starts[1:].tolist(), len(codes)]
-    return [set(codes[a:z]) for a, z in zip(starts.tolist(), ends, strict=True)]
-
-
-def similar_pairs(sets: list[set[int]], own: list[int] | None, similarity: float) -> list[tuple[int, int]]:
-    """Pairs of places of similar sets, enough to connect all of them; with own, only pairs of two blocks count."""
-    label, links, left = list(range(len(sets))), [], PATIENCE * len(sets)
-    for y in range(1, len(sets)):
-        n_y, mine = len(sets[y]), sets[y]
-        for x in range(y):
-            if label[x] == label[y] or own is not None and own[x] == own[y]:
-                continue
-            n_x = len(sets[x])
-            if min(n_x, n_y) < similarity * max(n_x, n_y) - 1e-9:
-                continue
-            left -= 1
-            both = len(sets[x] & mine)
-            if both >= similarity * (n_x + n_y - both) - 1e-9:
-                links.append((x, y))
-                mine_label, label_x = label[y], label[x]
-                for i in range(y + 1):
-                    if label[i] == mine_label:
-                        label[i] = label_x
-        if left < 0:
-            return similar_pairs_in_arrays(sets, own, similarity)
+    of, sizes = np.array(groups), np.diff(np.append(starts, len(codes)))
+    low = np.uint64((1 << ROW_BITS) - 1)
+    line_of = np.repeat(np.arange(len(lines)), sizes)
+    keys = np.sort(((codes ^ (of[line_of].astype(np.uint64) + np.uint64(1)) * _M2) * _M1) & ~low | line_of.astype(np.uint64))
+    keys = keys[np.append(True, keys[1:] != keys[:-1])]
+    code, line = keys >> np.uint64(ROW_BITS), (keys & low).astype(np.int64)
+    sizes = np.bincount(line, minlength=len(lines))
+    wide = int(np.bincount(of).max())
+    both = np.zeros(len(lines) * wide, np.int64)
+    for away in range(1, wide):
+        same = np.flatnonzero(code[away:] == code[:-away])
+        if not len(same):
+            break
+        x, y = line[same], line[same + away]
+        both += np.bincount(x * wide + np.minimum(y - x, wide - 1), minlength=len(both))
+    pairs = np.flatnonzero(both)
+    x = pairs // wide
+    y = x + pairs % wide
+    similar = both[pairs] >= similarity * (sizes[x] + sizes[y] - both[pairs]) - 1e-9
+    forest, links = Forest(len(lines)), []
+    for a, b in zip(x[similar].tolist(), y[similar].tolist(), strict=True):
+        if (own[a] is None or own[a] != own[b]) and forest.join(a, b):
+            links.append((a, b))
     return links
 
 
-def similar_pairs_in_arrays(sets: list[set[int]], own: list[int] | None, similarity: float) -> list[tuple[int, int]]:
-    """The same for groups with many comparisons: each set is compared with all earlier ones at once."""
-    sizes = np.array([len(s) for s in sets])
-    known, number = np.unique(np.fromiter(chain.from_iterable(sets), np.uint64, int(sizes.sum())), return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+def similar_pairs(lines: list[str], own: list[int] | None, k: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of places of similar lines, enough to connect all of them; with own, only pairs of two blocks count. Each set is compared with all
+    earlier ones at once."""
+    codes, starts = shingle_codes(lines, k)
+    line_of = np.repeat(np.arange(len(lines)), np.diff(np.append(starts, len(codes))))
+    known, number = np.unique(codes, return_inverse=True)
+    pairs = np.unique(line_of * np.int64(len(known)) + number)  # each line's set
+    line_of, number = pairs // len(known), pairs % len(known)
+    starts = np.searchsorted(line_of, np.arange(len(lines)))
+    sizes = np.diff(np.append(starts, len(number)))
     block = None if own is None else np.array(own)
-    label, marked, links = np.arange(len(sets)), np.zeros(len(known), bool), []
-    for y in range(1, len(sets)):
+    label, marked, links = np.arange(len(lines)), np.zeros(len(known), bool), []
+    for y in range(1, len(lines)):
         worth = label[:y] != label[y]
         if block is not None:
             worth &= block[:y] != block[y]
@@ -205,27 +208,43 @@ def similar_pairs_in_arrays(sets: list[set[int]], own: list[int] | None, similar
 def bucket_links(k: int, similarity: float):
     """From batches sorted by cell to links (a, b) between lines, enough to connect each cell's links."""
 
-    def rows_with_sets(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 250):
-                some = batch.slice(start, 250)
-                rows = some.drop_columns("text").to_pylist()
-                for row, own in zip(rows, shingle_sets(some.column("text").to_pylist(), k), strict=True):
-                    row["set"] = own
-                    yield row
-
     def run(batches):
         a, b = [], []
-        for _, group in groupby(rows_with_sets(batches), lambda r: r["cell"]):
+        held: list[tuple[list[dict], list[int | None]]] = []  # small groups
+        size = n = 0
+
+        def look(lines_of, pairs):
+            for x, y in pairs:
+                a.append(lines_of[x]["node"])
+                b.append(lines_of[y]["node"])
+
+        def look_at_held():
+            rows = [r for g, _ in held for r in g]
+            if rows:
+                look(rows, similar_in_small_groups([r["text"] for r in rows], [i for i, (g, _) in enumerate(held) for _ in g], [o for _, own in held for o in own], k, similarity))
+
+        def links():
+            out = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a.clear()
+            b.clear()
+            return out
+
+        for group in runs_by_key((s for batch in batches for s in (batch.slice(i, 250) for i in range(0, batch.num_rows, 250))), "cell"):
             rows = list({r["node"]: r for r in group}.values())
-            own = [r["own"] for r in rows] if rows[0]["i"] != rows[0]["j"] else None
-            for x, y in similar_pairs([r["set"] for r in rows], own, similarity):
-                a.append(rows[x]["node"])
-                b.append(rows[y]["node"])
+            cross = rows[0]["i"] != rows[0]["j"]
+            if len(rows) > SMALL:
+                look(rows, similar_pairs([r["text"] for r in rows], [r["own"] for r in rows] if cross else None, k, similarity))
+            elif len(rows) > 1:
+                held.append((rows, [r["own"] if cross else None for r in rows]))
+                size, n = size + sum(max(k, len(r["text"])) for r in rows), n + len(rows)
+                if size > CHARS or n > (1 << ROW_BITS) - SMALL:
+                    look_at_held()
+                    held.clear()
+                    size = n = 0
             if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield links()
+        look_at_held()
+        yield links()
 
     return run
 

@@ -148,6 +148,12 @@ def repeating_texts(r):
     ]
 
 
+def test_small_groups_of_lines_are_kept_apart():
+    lines = ["the same line of words", "the same line of words!", "another line of words", "the same line of words", "the same line of words?", "x"]
+    got = linededup.similar_in_small_groups(lines, [0, 0, 0, 1, 1, 1], [None] * 6, 5, 0.8)
+    assert got == [(0, 1), (3, 4)]
+
+
 def test_substring_dedup_matches_brute_force(spark):
     texts = repeating_texts(random.Random(2))
     want = dict(enumerate(substrings_removed(texts)))
@@ -254,13 +260,12 @@ def test_line_pairs_in_arrays_equal_those_of_sets():
     own = [r.randrange(2) for _ in lines]
     for block in (None, own):
         forest, want = Forest(len(lines)), Forest(len(lines))
-        hashed = linededup.shingle_sets(lines, 10)
-        for x, y in linededup.similar_pairs(hashed, block, 0.8):
+        for x, y in linededup.similar_pairs(lines, block, 10, 0.8):
             forest.join(x, y)
-        arrays = Forest(len(lines))
-        for x, y in linededup.similar_pairs_in_arrays(hashed, block, 0.8):
-            arrays.join(x, y)
-        assert [forest.find(i) for i in range(len(lines))] == [arrays.find(i) for i in range(len(lines))]
+        small = Forest(len(lines))
+        for x, y in linededup.similar_in_small_groups(lines, [0] * len(lines), block or [None] * len(lines), 10, 0.8):
+            small.join(x, y)
+        assert [forest.find(i) for i in range(len(lines))] == [small.find(i) for i in range(len(lines))]
         sets = [linededup.shingles(x) for x in lines]
         for y in range(len(lines)):
             for x in range(y):
