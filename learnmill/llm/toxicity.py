@@ -200,7 +200,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n_pos, n_neg = by_label.get(1, 0), by_label.get(0, 0)
     if not n_pos or not n_neg:
         return Lexicon(exceptions=tuple(exceptions))
-    counted = counted.where((F.col("pos") >= min(least, max(1, n_pos // 4))) & (F.col("pos") * n_neg > F.col("neg") * n_pos * 3))
+    counted = stored(counted, "counted").where((F.col("pos") >= min(least, max(1, n_pos // 4))) & (F.col("pos") * n_neg > F.col("neg") * n_pos * 3))
     n_candidates = max(2, counted.count())
     rows = counted.orderBy(F.desc(F.col("pos") / (F.col("neg") + 1)), F.desc("pos"), "e").limit(4 * most).collect()
     enough = 2 * math.log(10 * n_candidates) * min(1.0, n_pos / 25)
