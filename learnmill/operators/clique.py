@@ -13,20 +13,29 @@ from pyspark.sql import functions as F
 from .neighbors import connected_labels
 
 
-def memberships(coded: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """(id, axis, bin) from columns of bins."""
+def collapsed(coded: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with equal bins as one: (row, *columns, w); row is a number of the combination that holds for one table, w how many rows have it. Counting units needs no
+    more, and levels join far fewer rows."""
+    from .neighbors import _checkpoints
+
+    _checkpoints(coded.sparkSession)
+    return coded.groupBy(*columns).agg(F.count("*").alias("w")).withColumn("row", F.monotonically_increasing_id()).checkpoint()
+
+
+def memberships(coded: DataFrame, id_col: str, columns: list[str], weight: str | None = None) -> DataFrame:
+    """(id, axis, bin, w) from columns of bins; a row counts as many as its weight tells, else 1."""
     cells = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("axis"), F.col(c).cast("long").alias("bin")) for i, c in enumerate(columns)))).alias("u")
-    return coded.select(F.col(id_col).alias("id"), cells).select("id", "u.axis", "u.bin")
+    return coded.select(F.col(id_col).alias("id"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w"), cells).select("id", "u.axis", "u.bin", "w")
 
 
 def first_units(members: DataFrame, support: int) -> DataFrame:
-    units = members.groupBy("axis", "bin").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    units = members.groupBy("axis", "bin").agg(F.sum("w").alias("n")).where(F.col("n") >= support)
     return units.select(F.array("axis").alias("subspace"), F.array("bin").alias("bins"), "n")
 
 
 def inside(members: DataFrame, units: DataFrame) -> DataFrame:
-    """(id, subspace, bins) of the rows in first-level units."""
-    m = members.select("id", F.array("axis").alias("subspace"), F.array("bin").alias("bins"))
+    """(id, subspace, bins, w) of the rows in first-level units."""
+    m = members.select("id", "w", F.array("axis").alias("subspace"), F.array("bin").alias("bins"))
     return m.join(units.select("subspace", "bins"), ["subspace", "bins"], "left_semi")
 
 
@@ -34,8 +43,9 @@ def next_units(level: DataFrame, base: DataFrame, units: DataFrame, support: int
     """Units one dimension up, and which rows they hold. level and base: (id, subspace, bins) of this level and of the first. A unit whose faces are not
     all dense cannot be dense; counting alone decides, as a unit's rows are in all its faces."""
     b = base.select(F.col("id").alias("i"), F.col("subspace").alias("axis"), F.col("bins").alias("bin"))
-    grown = level.join(b, (F.col("id") == F.col("i")) & (F.col("axis")[0] > F.element_at("subspace", -1))).select("id", F.concat("subspace", "axis").alias("subspace"), F.concat("bins", "bin").alias("bins"))
-    dense = grown.groupBy("subspace", "bins").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    level = level.select("id", "subspace", "bins", "w")
+    grown = level.join(b, (F.col("id") == F.col("i")) & (F.col("axis")[0] > F.element_at("subspace", -1))).select(level["id"], F.concat("subspace", "axis").alias("subspace"), F.concat("bins", "bin").alias("bins"), level["w"].alias("w"))
+    dense = grown.groupBy("subspace", "bins").agg(F.sum("w").alias("n")).where(F.col("n") >= support)
     return dense, grown.join(dense.select("subspace", "bins"), ["subspace", "bins"], "left_semi")
 
 
@@ -132,7 +142,8 @@ def maximal_regions(clusters: DataFrame) -> DataFrame:
 
 def predict(members: DataFrame, regions: DataFrame) -> DataFrame:
     """(id, cluster): the last cluster with a rectangle around the row; null if none. regions are few and of one subspace."""
-    sides = regions.select("cluster", F.monotonically_increasing_id().alias("r"), F.posexplode("subspace").alias("k", "ax"), "lows", "highs").select("cluster", "r", "ax", F.expr("lows[k]").alias("lo"), F.expr("highs[k]").alias("hi"), F.expr("size(lows)").alias("dims"))
-    hit = members.join(F.broadcast(sides), (F.col("axis") == F.col("ax")) & F.col("bin").between(F.col("lo"), F.col("hi"))).groupBy("id", "r", "cluster", "dims").agg(F.count("*").alias("c")).where("c = dims")
+    sides = regions.select("cluster", F.posexplode("subspace").alias("k", "ax"), "lows", "highs").select("cluster", "ax", F.expr("lows[k]").alias("lo"), F.expr("highs[k]").alias("hi"), "lows", "highs")
+    held = members.join(sides, (F.col("axis") == F.col("ax")) & F.col("bin").between(F.col("lo"), F.col("hi")))
+    hit = held.groupBy("id", "cluster", "lows", "highs").agg(F.count("*").alias("c")).where(F.col("c") == F.size("lows"))
     best = hit.groupBy(F.col("id").alias("i")).agg(F.max("cluster").alias("cluster"))
     return members.select("id").distinct().join(best, F.col("id") == F.col("i"), "left").select("id", "cluster")

@@ -1,29 +1,68 @@
 """Neighbourhoods by a bucketed range join, and what is built on them: DBSCAN, OPTICS, local outlier factors and
-distance-based outliers. Points are rows (id, x, y).
+distance-based outliers. Points are rows (id, x, y) in the plane, or (id, v) with arrays of any length and a metric.
 
 The plane is cut into square cells of the radius; a point meets the points of its own cell and of the eight around it by an
-equi-join on cells, and the exact distance decides. The number of points near a point bounds the work, not the square of all.
+equi-join on cells, and the exact distance decides. The number of points near a point bounds the work, not the square of all. Arrays are
+first mapped to a plane by their distances to two pivots: by the triangle inequality, points within the radius are within it there too, in each axis.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from learnmill.functions.scalar import squared_distance
+
+
+#: Distances of two array columns. A callable of two columns may be given instead, if it keeps the triangle inequality.
+METRICS: dict[str, Callable[[Column, Column], Column]] = {
+    "euclidean": lambda a, b: F.sqrt(squared_distance(a, b)),
+    "manhattan": lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x),
+    "chebyshev": lambda a, b: F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y))),
+}
+Metric = str | Callable[[Column, Column], Column]
+
+
+def metric_of(metric: Metric) -> Callable[[Column, Column], Column]:
+    return METRICS[metric] if isinstance(metric, str) else metric
+
+
+def coordinates(points: DataFrame) -> list[str]:
+    return ["v"] if "v" in points.columns else ["x", "y"]
+
+
+def _in_plane(left: DataFrame, right: DataFrame, metric: Metric) -> tuple[DataFrame, DataFrame]:
+    """Both sides with x, y: distances to two points of the right side, those with the smallest hashes of their ids."""
+    d = metric_of(metric)
+    pivots = [r["v"] for r in right.where("v is not null").orderBy(F.xxhash64("id"), "id").limit(2).collect()] or [[]]
+    axes = [d(F.col("v"), F.array(*(F.lit(float(x)) for x in p))) for p in (pivots[0], pivots[-1])]
+    return tuple(side.select("id", "v", axes[0].alias("x"), axes[1].alias("y")) for side in (left, right))
+
 
 def _cells(points: DataFrame, width: float, reach: int) -> DataFrame:
     steps = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)))).alias("s")
     return points.select("*", steps).select(*points.columns, (F.floor(F.col("x") / width) + F.col("s.a")).alias("cx"), (F.floor(F.col("y") / width) + F.col("s.b")).alias("cy"))
 
 
-def range_join(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """(i, j, d2) of all points of left and right with a distance of at most radius, each within itself included."""
-    a = _cells(left, radius, 0).select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), "cx", "cy")
-    b = _cells(right, radius, 1).select(F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), "cx", "cy")
+def range_join(left: DataFrame, right: DataFrame, radius: float, metric: Metric = "euclidean") -> DataFrame:
+    """(i, j, d2) of all points of left and right with a distance of at most radius, each within itself included; d2 is the squared distance. metric
+    is for points with arrays; points in the plane are Euclidean."""
+    arrays = "v" in left.columns
+    if arrays:
+        left, right = _in_plane(left, right, metric)
+    # in the plane of the pivots distances are rounded: cells a little wider lose nothing
+    width = radius * (1 + 1e-9) + 1e-9 if arrays else radius
+    own = ["v"] if arrays else ["x", "y"]
+    a = _cells(left, width, 0).select(F.col("id").alias("i"), *(F.col(c).alias(c + "i") for c in own), "cx", "cy")
+    b = _cells(right, width, 1).select(F.col("id").alias("j"), *(F.col(c).alias(c + "j") for c in own), "cx", "cy")
+    if arrays:
+        met = a.join(b, ["cx", "cy"]).select("i", "j", metric_of(metric)(F.col("vi"), F.col("vj")).alias("d")).where(F.col("d") <= radius)
+        return met.select("i", "j", (F.col("d") * F.col("d")).alias("d2"))
     d2 = (F.col("xi") - F.col("xj")) * (F.col("xi") - F.col("xj")) + (F.col("yi") - F.col("yj")) * (F.col("yi") - F.col("yj"))
     return a.join(b, ["cx", "cy"]).select("i", "j", d2.alias("d2")).where(F.col("d2") <= radius * radius)
 
@@ -50,48 +89,51 @@ def _checkpoints(spark) -> None:
 
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="learnmill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="learnmill-"))
 
 
-def eps_degree(points: DataFrame, radius: float) -> DataFrame:
+def eps_degree(points: DataFrame, radius: float, metric: Metric = "euclidean") -> DataFrame:
     """(id, degree): points within the radius, itself included."""
-    return range_join(points, points, radius).groupBy(F.col("i").alias("id")).agg(F.count("*").alias("degree"))
+    return range_join(points, points, radius, metric).groupBy(F.col("i").alias("id")).agg(F.count("*").alias("degree"))
 
 
-def dbscan(points: DataFrame, min_points: int, radius: float) -> DataFrame:
+def dbscan(points: DataFrame, min_points: int, radius: float, metric: Metric = "euclidean") -> DataFrame:
     """(id, core, cluster): clusters are numbered from 0 by their smallest core point; a border point takes the cluster with the smallest
     core among its core neighbours'; noise is -1."""
-    near = range_join(points, points, radius).select("i", "j")
+    near = range_join(points, points, radius, metric).select("i", "j")
     core = near.groupBy(F.col("i").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select("id")
     to_core = near.join(core.withColumnRenamed("id", "c"), F.col("j") == F.col("c"), "left_semi")
     between = to_core.join(core.withColumnRenamed("id", "c"), F.col("i") == F.col("c"), "left_semi")
     labels = connected_labels(between, core)
     numbers = labels.select("label").distinct().select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("long").alias("cluster"))
-    of_core = labels.join(F.broadcast(numbers), "label").select(F.col("id").alias("c"), "cluster")
+    of_core = labels.join(numbers, "label").select(F.col("id").alias("c"), "cluster")
     reached = to_core.join(of_core, F.col("j") == F.col("c")).groupBy(F.col("i").alias("r")).agg(F.min("cluster").alias("cluster"))
     return points.select("id").join(reached, F.col("id") == F.col("r"), "left").join(of_core.select(F.col("c").alias("k"), F.col("cluster").alias("own")), F.col("id") == F.col("k"), "left").select("id", F.col("own").isNotNull().alias("core"), F.coalesce("own", "cluster", F.lit(-1)).cast("long").alias("cluster"))
 
 
-def predict_dbscan(new: DataFrame, points: DataFrame, labels: DataFrame, radius: float) -> DataFrame:
+def predict_dbscan(new: DataFrame, points: DataFrame, labels: DataFrame, radius: float, metric: Metric = "euclidean") -> DataFrame:
     """(id, cluster) of new points: the smallest cluster of a core point within the radius, else -1."""
     cores = points.join(labels.where("core").select("id", "cluster"), "id")
-    found = range_join(new, cores.select("id", "x", "y"), radius).join(cores.select(F.col("id").alias("c"), "cluster"), F.col("j") == F.col("c"))
+    found = range_join(new.select("id", *coordinates(new)), cores.select("id", *coordinates(points)), radius, metric).join(cores.select(F.col("id").alias("c"), "cluster"), F.col("j") == F.col("c"))
     found = found.groupBy(F.col("i").alias("r")).agg(F.min("cluster").alias("cluster"))
     return new.select("id").join(found, F.col("id") == F.col("r"), "left").select("id", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
 
 
-def core_distance(points: DataFrame, min_points: int, radius: float) -> DataFrame:
+def core_distance(points: DataFrame, min_points: int, radius: float, metric: Metric = "euclidean") -> DataFrame:
     """(id, core_distance): distance of the min_points-th nearest point, itself included; null beyond the radius."""
     order = Window.partitionBy("i").orderBy("d2", "j")
-    ranked = range_join(points, points, radius).withColumn("k", F.row_number().over(order)).where(F.col("k") == min_points)
+    ranked = range_join(points, points, radius, metric).withColumn("k", F.row_number().over(order)).where(F.col("k") == min_points)
     return points.select("id").join(ranked.select(F.col("i").alias("r"), F.sqrt("d2").alias("core_distance")), F.col("id") == F.col("r"), "left").select("id", "core_distance")
 
 
-def optics(points: DataFrame, min_points: int, radius: float) -> DataFrame:
+def optics(points: DataFrame, min_points: int, radius: float, metric: Metric = "euclidean") -> DataFrame:
     """(pos, id, core_distance, reachability): the cluster order, starting from the smallest unvisited id; of equal keys the smallest id is
     next. Undefined distances are infinite. The order is one sequential walk, made over the sparse neighbour table in a
     single group."""
-    near = range_join(points, points, radius).select("i", "j", F.sqrt("d2").alias("d"))
+    near = range_join(points, points, radius, metric).select("i", "j", F.sqrt("d2").alias("d"))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         around: dict[int, list] = {}
@@ -192,17 +234,28 @@ def steep_areas(order: DataFrame, xi: float, min_points: int, min_length: int =
     return order.groupBy(F.lit("all")).applyInPandas(extract, "start long, stop long")
 
 
-def k_distance_neighbors(points: DataFrame, k: int, radius: float) -> DataFrame:
-    """(i, j, d, k_distance): for each point, the points at its first ``k`` distinct distances (0 to itself included),
-    searched within a radius that must hold them."""
-    order = Window.partitionBy("i").orderBy("d2")
-    near = range_join(points, points, radius).withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= k)
-    return near.select("i", "j", F.sqrt("d2").alias("d"), F.sqrt(F.max("d2").over(Window.partitionBy("i"))).alias("k_distance"))
-
-
-def outlier_factor(points: DataFrame, k: int, radius: float) -> DataFrame:
-    """(id, factor): mean local reachability density of a point's neighbours by its own; neighbours do not include itself."""
-    near = k_distance_neighbors(points, k, radius).where("i <> j")
+def k_distance_neighbors(points: DataFrame, k: int, radius: float, metric: Metric = "euclidean") -> DataFrame:
+    """(i, j, d, k_distance): for each point, the points at its first ``k`` distinct distances (0 to itself included). The search begins within a
+    radius and doubles it for the points that it holds too few for, until all are served or have seen every point."""
+    _checkpoints(points.sparkSession)
+    points = points.select("id", *coordinates(points)).where("id is not null").checkpoint()
+    total, left, served = points.count(), points, None
+    while True:
+        near = range_join(left, points, radius, metric).withColumn("r", F.dense_rank().over(Window.partitionBy("i").orderBy("d2"))).checkpoint()
+        enough = near.groupBy(F.col("i").alias("n")).agg(F.max("r").alias("far"), F.count("*").alias("seen")).where((F.col("far") >= k) | (F.col("seen") >= total)).select("n")
+        part = near.where(F.col("r") <= k).join(enough, F.col("i") == F.col("n"), "left_semi")
+        served = part if served is None else served.union(part)
+        left = left.join(enough, F.col("id") == F.col("n"), "left_anti").checkpoint()
+        if left.isEmpty() or radius > 1e300:
+            break
+        radius *= 2
+    return served.select("i", "j", F.sqrt("d2").alias("d"), F.sqrt(F.max("d2").over(Window.partitionBy("i"))).alias("k_distance"))
+
+
+def outlier_factor(points: DataFrame, k: int, radius: float, metric: Metric = "euclidean") -> DataFrame:
+    """(id, factor): mean local reachability density of a point's neighbours by its own; neighbours do not include itself. radius is where the search
+    begins. Every point that has another point gets a factor."""
+    near = k_distance_neighbors(points, k, radius, metric).where("i <> j")
     far = near.groupBy(F.col("i").alias("n")).agg(F.max("k_distance").alias("kd"))
     reach = near.join(far, F.col("j") == F.col("n")).select("i", "j", F.greatest("kd", "d").alias("r"))
     density = reach.groupBy("i").agg((F.count("*") / F.sum("r")).alias("lrd"))
@@ -210,14 +263,16 @@ def outlier_factor(points: DataFrame, k: int, radius: float) -> DataFrame:
     return near.join(theirs, F.col("j") == F.col("n")).groupBy("i").agg(F.avg("their").alias("m")).join(own, F.col("i") == F.col("id")).select("id", (F.col("m") / F.col("lrd")).alias("factor"))
 
 
-def distance_outliers(points: DataFrame, share: float, distance: float) -> DataFrame:
+def distance_outliers(points: DataFrame, share: float, distance: float, metric: Metric = "euclidean") -> DataFrame:
     """(id, n_near): points with at most int(N (1 - share)) points within the distance, itself included.
 
-    Points in a cell so small that all its points are near each other, with more points than that, are passed over before
+    In the plane, points in a cell so small that all its points are near each other, with more points than that, are passed over before
     the join; cells of width distance / (2 sqrt 2) and the exact count decide for the others."""
     most = int(points.count() * (1 - share) + 1e-9)
-    w = distance / (2 * math.sqrt(2))
-    celled = points.withColumns({"gx": F.floor(F.col("x") / w), "gy": F.floor(F.col("y") / w)})
-    crowded = celled.groupBy("gx", "gy").agg(F.count("*").alias("n")).where(F.col("n") > most).select("gx", "gy")
-    left = celled.join(crowded, ["gx", "gy"], "left_anti").select("id", "x", "y")
-    return range_join(left, points, distance).groupBy(F.col("i").alias("id")).agg(F.count("*").alias("n_near")).where(F.col("n_near") <= most)
+    left = points.select("id", *coordinates(points))
+    if "v" not in points.columns:
+        w = distance / (2 * math.sqrt(2))
+        celled = left.withColumns({"gx": F.floor(F.col("x") / w), "gy": F.floor(F.col("y") / w)})
+        crowded = celled.groupBy("gx", "gy").agg(F.count("*").alias("n")).where(F.col("n") > most).select("gx", "gy")
+        left = celled.join(crowded, ["gx", "gy"], "left_anti").select("id", "x", "y")
+    return range_join(left, points, distance, metric).groupBy(F.col("i").alias("id")).agg(F.count("*").alias("n_near")).where(F.col("n_near") <= most)

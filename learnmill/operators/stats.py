@@ -138,3 +138,71 @@ def one_versus_one(scores: DataFrame, row: str, first: str, second: str, score:
     vote = F.explode(F.array(F.struct(F.col(first).alias("label"), (F.col(score) > 0).cast("long").alias("v")), F.struct(F.col(second).alias("label"), (F.col(score) < 0).cast("long").alias("v")))).alias("b")
     votes = scores.select(row, vote).groupBy(row, "b.label").agg(F.sum("b.v").alias("votes"))
     return votes.groupBy(row).agg(F.max_by("label", F.struct(F.col("votes"), -F.col("label"))).alias("label"))
+
+
+def one_versus_rest_train(df: DataFrame, label: str, train: Callable[[DataFrame], object]) -> dict:
+    """class -> model: train gets df with y, +1 for rows of the class and -1 for all others, once for each class in order. Rows
+    without a label are left out; a single class has no model."""
+    classes = sorted(r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().collect())
+    rows = df.where(F.col(label).isNotNull())
+    return {c: train(rows.withColumn("y", F.when(F.col(label) == c, 1.0).otherwise(-1.0))) for c in classes} if len(classes) > 1 else {}
+
+
+def one_versus_one_train(df: DataFrame, label: str, train: Callable[[DataFrame], object]) -> dict:
+    """(first, second) -> model for each pair of classes in order: train gets the rows of both with y, +1 for the first and -1 for the second."""
+    classes = sorted(r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().collect())
+    return {(a, b): train(df.where(F.col(label).isin(a, b)).withColumn("y", F.when(F.col(label) == a, 1.0).otherwise(-1.0))) for a, b in itertools.combinations(classes, 2)}
+
+
+def multi_class_predict(df: DataFrame, models: dict, score: Callable[[object], Column]) -> DataFrame:
+    """df with predicted, by models of either kind of training; score makes a model's score of a row. Against the rest the highest score wins, one
+    against one the class with most votes (a positive score is one for the first); of equals the smallest class. All inside the row."""
+    if not models:
+        return df.withColumn("predicted", F.lit(None))
+    if not isinstance(next(iter(models)), tuple):
+        best = F.array_max(F.array(*(F.struct(score(m).alias("s"), F.lit(-i).alias("k")) for i, m in enumerate(models.values()))))
+        names = F.array(*(F.lit(c) for c in models))
+        return df.withColumn("predicted", F.element_at(names, (1 - best["k"]).cast("int")))
+    classes = sorted({c for pair in models for c in pair})
+    votes = {c: F.lit(0) for c in classes}
+    for (a, b), m in models.items():
+        s = score(m)
+        votes[a], votes[b] = votes[a] + (s > 0).cast("int"), votes[b] + (s < 0).cast("int")
+    best = F.array_max(F.array(*(F.struct(votes[c].alias("s"), F.lit(-i).alias("k")) for i, c in enumerate(classes))))
+    return df.withColumn("predicted", F.element_at(F.array(*(F.lit(c) for c in classes)), (1 - best["k"]).cast("int")))
+
+
+def mean_difference(df: DataFrame, columns: list[str]) -> tuple[list[float], float]:
+    """A closed-form classifier of rows with y = +1 or -1: the weights are the difference of the classes' means, and the border lies
+    halfway between them."""
+    m = {r["y"]: r for r in df.groupBy("y").agg(*(F.avg(c).alias(c) for c in columns)).collect()}
+    w = [m[1.0][c] - m[-1.0][c] for c in columns]
+    return w, -sum(x * (m[1.0][c] + m[-1.0][c]) / 2 for x, c in zip(w, columns, strict=True))
+
+
+def linear_score(model: tuple[list[float], float], columns: list[str]) -> Column:
+    w, b = model
+    out = F.lit(float(b))
+    for x, c in zip(w, columns, strict=True):
+        out = out + F.lit(float(x)) * F.col(c)
+    return out
+
+
+def grid_of(parameters: dict[str, list | tuple]) -> list[dict]:
+    """All combinations of the parameters' values, the last parameter running fastest. A tuple (start, stop, count) stands for evenly spaced values."""
+    values = [np.linspace(*v).tolist() if isinstance(v, tuple) and len(v) == 3 else list(v) for v in parameters.values()]
+    return [dict(zip(parameters, c, strict=True)) for c in itertools.product(*values)]
+
+
+def cross_validate(df: DataFrame, fold: str, parameters: dict, train: Callable[..., object], loss: Callable[[object], Column]) -> list[tuple[dict, float]]:
+    """(parameters, summed loss over held-out folds) for every point of the grid, best first (of equals the first in the grid). train(rows, **parameters) gives a
+    model of the rows of all folds but one, loss(model) a row's loss; each fold is one training and one sum."""
+    numbers = sorted(r[0] for r in df.select(fold).distinct().collect())
+    out = []
+    for some in grid_of(parameters):
+        total = 0.0
+        for k in numbers:
+            model = train(df.where(F.col(fold) != k), **some)
+            total += df.where(F.col(fold) == k).agg(F.sum(loss(model))).first()[0] or 0.0
+        out.append((some, total))
+    return sorted(out, key=lambda x: x[1])

@@ -279,3 +279,60 @@ def _sql_oas() -> str:
 @query(_sql_oas())
 def oas_shrink_line(spark, sf_dir):
     return stats.matrix_frame(spark, stats.oas_shrinkage(_line(spark, sf_dir), ["a0", "a1", "a2"])[0], 5)
+
+
+@query("""WITH x AS (SELECT c_custkey, c_acctbal / 4000.0::DOUBLE - 1.0 AS x FROM customer), t AS (SELECT c_custkey, x, unnest(range(0, 61)) AS n FROM x)
+SELECT c_custkey, round(0.5 + exp(-any_value(x) * any_value(x) / 2) / sqrt(2 * pi()) * sum(x * power(x * x / 2, n) * sqrt(pi()) / (2 * gamma(n + 1.5::DOUBLE))), 6) AS cdf FROM t GROUP BY 1""")
+def normal_cdf_customer(spark, sf_dir):
+    x = F.col("c_acctbal") / 4000.0 - 1.0
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(S.normal_cdf(x), 6).alias("cdf"))
+
+
+_FLAGS = "WITH d AS (SELECT l_returnflag AS label, l_quantity / 50.0::DOUBLE AS x1, l_discount * 10.0::DOUBLE AS x2, l_tax * 10.0::DOUBLE AS x3 FROM lineitem), c AS (SELECT DISTINCT label FROM d)"
+
+
+def _flags(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("label"), (F.col("l_quantity") / 50.0).alias("x1"), (F.col("l_discount") * 10.0).alias("x2"), (F.col("l_tax") * 10.0).alias("x3"))
+
+
+def _predicted(spark, sf_dir, train_all):
+    rows, columns = _flags(spark, sf_dir), ["x1", "x2", "x3"]
+    models = train_all(rows, "label", lambda d: stats.mean_difference(d, columns))
+    out = stats.multi_class_predict(rows, models, lambda m: F.round(stats.linear_score(m, columns), 9))
+    return out.groupBy("label", "predicted").agg(F.count("*").alias("n"))
+
+
+_SCORE = "round((m.a1 - m.b1) * (d.x1 - (m.a1 + m.b1) / 2) + (m.a2 - m.b2) * (d.x2 - (m.a2 + m.b2) / 2) + (m.a3 - m.b3) * (d.x3 - (m.a3 + m.b3) / 2), 9)"
+
+
+@query(_FLAGS + f""", r AS (SELECT row_number() OVER () AS i, * FROM d),
+m AS (SELECT c.label AS c, avg(x1) FILTER (d.label = c.label) AS a1, avg(x2) FILTER (d.label = c.label) AS a2, avg(x3) FILTER (d.label = c.label) AS a3, avg(x1) FILTER (d.label <> c.label) AS b1, avg(x2) FILTER (d.label <> c.label) AS b2, avg(x3) FILTER (d.label <> c.label) AS b3 FROM c, d GROUP BY 1),
+s AS (SELECT d.i, d.label, m.c, {_SCORE} AS s FROM r d, m), k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, c) AS k FROM s)
+SELECT label, c AS predicted, count(*) AS n FROM k WHERE k = 1 GROUP BY 1, 2""")
+def one_versus_rest_line(spark, sf_dir):
+    return _predicted(spark, sf_dir, stats.one_versus_rest_train)
+
+
+@query(_FLAGS + f""", r AS (SELECT row_number() OVER () AS i, * FROM d), a AS (SELECT label, avg(x1) AS x1, avg(x2) AS x2, avg(x3) AS x3 FROM d GROUP BY 1),
+m AS (SELECT p.label AS f, q.label AS g, p.x1 AS a1, p.x2 AS a2, p.x3 AS a3, q.x1 AS b1, q.x2 AS b2, q.x3 AS b3 FROM a p JOIN a q ON p.label < q.label),
+s AS (SELECT d.i, d.label, m.f, m.g, {_SCORE} AS s FROM r d, m), v AS (SELECT i, label, f AS c, (s > 0)::INT AS v FROM s UNION ALL SELECT i, label, g, (s < 0)::INT FROM s),
+t AS (SELECT i, label, c, sum(v) AS v FROM v GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY v DESC, c) AS k FROM t)
+SELECT label, c AS predicted, count(*) AS n FROM k WHERE k = 1 GROUP BY 1, 2""")
+def one_versus_one_line(spark, sf_dir):
+    return _predicted(spark, sf_dir, stats.one_versus_one_train)
+
+
+@query("""WITH d AS (SELECT p_partkey % 4 AS fold, p_size / 50.0::DOUBLE AS x, p_retailprice / 1000.0::DOUBLE AS y FROM part),
+g AS (SELECT penalty, power FROM (VALUES (0.0::DOUBLE), (10.0), (100.0)) a(penalty), (VALUES (0.5::DOUBLE), (1.0), (2.0)) b(power)), f AS (SELECT DISTINCT fold FROM d),
+b AS (SELECT penalty, power, f.fold, sum(pow(x, power) * y) / (sum(pow(x, power) * pow(x, power)) + penalty) AS b FROM g, f, d WHERE d.fold <> f.fold GROUP BY 1, 2, 3)
+SELECT penalty, power, round(sum((y - b * pow(x, power)) * (y - b * pow(x, power))), 6) AS loss FROM b JOIN d ON b.fold = d.fold GROUP BY 1, 2""")
+def cross_validate_part(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 4).alias("fold"), (F.col("p_size") / 50.0).alias("x"), (F.col("p_retailprice") / 1000.0).alias("y")).cache()
+
+    def slope(some, penalty, power):
+        t = F.pow("x", F.lit(power))
+        r = some.agg(F.sum(t * F.col("y")).alias("xy"), F.sum(t * t).alias("xx")).first()
+        return r["xy"] / (r["xx"] + penalty), power
+
+    found = stats.cross_validate(rows, "fold", {"penalty": [0.0, 10.0, 100.0], "power": [0.5, 1.0, 2.0]}, slope, lambda m: F.pow(F.col("y") - m[0] * F.pow("x", F.lit(m[1])), F.lit(2.0)))
+    return spark.createDataFrame([(p["penalty"], p["power"], round(loss, 6)) for p, loss in found], "penalty double, power double, loss double")

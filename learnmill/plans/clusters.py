@@ -64,7 +64,7 @@ def optics_xi_user(spark, sf_dir):
     return N.steep_areas(N.optics(user_points(spark, sf_dir), MIN_POINTS, 1.0), 0.05, MIN_POINTS)
 
 
-_LOF = f"""WITH {SQL_USERS}, n0 AS (SELECT a.id AS i, b.id AS j, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM p a, p b WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4.0),
+_LOF = f"""WITH {SQL_USERS}, n0 AS (SELECT a.id AS i, b.id AS j, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM p a, p b),
 k AS (SELECT *, dense_rank() OVER (PARTITION BY i ORDER BY d2) AS r FROM n0), n AS (SELECT i, j, sqrt(d2) AS d FROM k WHERE r <= 5 AND i <> j), kd AS (SELECT i, max(d) AS kd FROM n GROUP BY i),
 lrd AS (SELECT n.i, count(*) / sum(greatest(kd.kd, n.d)) AS lrd FROM n JOIN kd ON n.j = kd.i GROUP BY n.i)"""
 
@@ -138,16 +138,42 @@ def davies_bouldin_emb(spark, sf_dir):
     return M.davies_bouldin_index(M.link_distances(v), M.diameters(v)).select(rounded(F.col("davies_bouldin")).alias("davies_bouldin"))
 
 
+_MEDOIDS = f"WITH {SQL_VEC}, m AS (SELECT label, v FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS k FROM v) WHERE k = 1), w AS (SELECT v.label, avg(list_distance(v.v, m.v)) AS s FROM v JOIN m USING (label) GROUP BY 1), d AS (SELECT a.label AS a, b.label AS b, list_distance(a.v, b.v) AS d FROM m a JOIN m b ON a.label < b.label)"
+
+
+def _first_vectors(v):
+    return v.groupBy("label").agg(F.min_by("v", "id").alias("v"))
+
+
+@query(_MEDOIDS + " SELECT a, b, round(d, 6) AS medoid FROM d")
+def medoid_links_emb(spark, sf_dir):
+    return M.medoid_links(_first_vectors(vectors(spark, sf_dir))).select("a", "b", rounded(F.col("medoid")).alias("medoid"))
+
+
+@query(_MEDOIDS + " SELECT label, round(s, 6) AS s FROM w")
+def medoid_dispersions_emb(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return M.medoid_dispersions(v, _first_vectors(v)).select("label", rounded(F.col("s")).alias("s"))
+
+
+@query(_MEDOIDS + ", b AS (SELECT a, b, d FROM d UNION ALL SELECT b, a, d FROM d), r AS (SELECT b.a, max((x.s + y.s) / b.d) AS r FROM b JOIN w x ON b.a = x.label JOIN w y ON b.b = y.label GROUP BY b.a) SELECT round(avg(r), 6) AS davies_bouldin FROM r")
+def davies_bouldin_medoid_emb(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    m = _first_vectors(v)
+    return M.davies_bouldin_index(M.medoid_links(m), M.medoid_dispersions(v, m), "medoid").select(rounded(F.col("davies_bouldin")).alias("davies_bouldin"))
+
+
 AXES = ["q", "d", "t"]
 _CELLS = "WITH RECURSIVE g AS (SELECT least(floor((l_quantity - 1) / 7), 6)::BIGINT AS b0, least(floor(l_discount * 100 / 2 + 1e-9), 4)::BIGINT AS b1, least(floor(l_tax * 100 / 2 + 1e-9), 3)::BIGINT AS b2 FROM lineitem), n AS (SELECT count(*) AS n FROM g)"
 
 
 def _members(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(
-        F.monotonically_increasing_id().alias("row"), F.least(F.floor((F.col("l_quantity") - 1) / 7), F.lit(6)).alias("q"),
+        F.least(F.floor((F.col("l_quantity") - 1) / 7), F.lit(6)).alias("q"),
         F.least(F.floor(F.col("l_discount") * 100 / 2 + 1e-9), F.lit(4)).alias("d"), F.least(F.floor(F.col("l_tax") * 100 / 2 + 1e-9), F.lit(3)).alias("t"),
     )
-    return C.memberships(li, "row", AXES), li.count()
+    few = C.collapsed(li, AXES)
+    return C.memberships(few, "row", AXES, "w"), few.agg(F.sum("w")).first()[0]
 
 
 def _named(units):
@@ -217,10 +243,50 @@ def clique_regions(spark, sf_dir):
     return C.maximal_regions(C.unit_clusters(_units(spark, sf_dir, 2), 1))
 
 
-@query()
+_OF_ROWS = f"""{_TWO_UNITS}, v AS (SELECT * FROM u WHERE subspace = '0,1'), e AS (SELECT a.bins AS a, b.bins AS b FROM v a JOIN v b ON abs(a.x - b.x) + abs(a.y - b.y) <= 1),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+l AS (SELECT a AS bins, '0,1|' || min(lpad(split_part(b, ',', 1), 9, '0') || ',' || lpad(split_part(b, ',', 2), 9, '0')) AS cluster FROM r GROUP BY 1)
+SELECT cluster, count(*)::BIGINT AS n FROM g LEFT JOIN l ON l.bins = b0 || ',' || b1 GROUP BY 1"""
+
+
+@query(_OF_ROWS)
 def clique_predict(spark, sf_dir):
     m, n = _members(spark, sf_dir)
     units = C.units_up_to(m, -(-n // 100), 2)[1]
     one = units.where(F.col("subspace") == F.array(F.lit(0).cast("long"), F.lit(1).cast("long")))
     found = C.predict(m, C.maximal_regions(C.unit_clusters(one, 1)))
-    return found.groupBy("cluster").agg(F.count("*").alias("n"))
+    weights = m.groupBy(F.col("id").alias("i")).agg(F.max("w").alias("w"))
+    return found.join(weights, F.col("id") == F.col("i")).groupBy("cluster").agg(F.sum("w").alias("n"))
+
+
+def _user_arrays(spark, sf_dir):
+    """(id, v): users by x, y and their sum, for metrics in three dimensions."""
+    return user_points(spark, sf_dir).select("id", F.array("x", "y", F.round(F.col("x") + F.col("y"), 9)).alias("v"))
+
+
+_V3 = f"WITH RECURSIVE {SQL_USERS}, p3 AS (SELECT id, x, y, round(x + y, 9) AS z FROM p), m AS (SELECT a.id AS i, b.id AS j, abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) AS d FROM p3 a, p3 b), near AS (SELECT i, j FROM m WHERE d <= 0.75)"
+_DBSCAN3 = _V3 + _DBSCAN[len(_NEAR) :]
+
+
+@query(_DBSCAN3 + " SELECT id, core, cluster FROM dbscan")
+def dbscan_manhattan_user(spark, sf_dir):
+    return N.dbscan(_user_arrays(spark, sf_dir), MIN_POINTS, 0.75, "manhattan")
+
+
+_LOF3 = _V3 + """, k AS (SELECT *, dense_rank() OVER (PARTITION BY i ORDER BY d) AS r FROM m), n AS (SELECT i, j, d FROM k WHERE r <= 5 AND i <> j), kd AS (SELECT i, max(d) AS kd FROM n GROUP BY i),
+lrd AS (SELECT n.i, count(*) / sum(greatest(kd.kd, n.d)) AS lrd FROM n JOIN kd ON n.j = kd.i GROUP BY n.i)"""
+
+
+@query(_LOF3 + " SELECT n.i AS id, round(avg(b.lrd) / any_value(a.lrd), 6) AS factor FROM n JOIN lrd b ON n.j = b.i JOIN lrd a ON n.i = a.i GROUP BY n.i")
+def lof_manhattan_user(spark, sf_dir):
+    return N.outlier_factor(_user_arrays(spark, sf_dir), 5, 1.0, "manhattan").withColumn("factor", rounded(F.col("factor")))
+
+
+@query(f"WITH {SQL_USERS}, p3 AS (SELECT id, x, y, round(x + y, 9) AS z FROM p) SELECT a.id, count(*) AS n_near FROM p3 a, p3 b WHERE greatest(abs(a.x - b.x), abs(a.y - b.y), abs(a.z - b.z)) <= 1.0 GROUP BY a.id HAVING count(*) <= (SELECT floor(count(*) * 0.02 + 1e-9) FROM p)")
+def db_outlier_chebyshev_user(spark, sf_dir):
+    return N.distance_outliers(_user_arrays(spark, sf_dir), 0.98, 1.0, "chebyshev")
+
+
+@query(f"WITH {SQL_VEC} SELECT a.id, count(*) AS degree FROM v a, v b WHERE list_distance(a.v, b.v) <= 1.15::DOUBLE GROUP BY 1")
+def eps_degree_emb(spark, sf_dir):
+    return N.eps_degree(vectors(spark, sf_dir).select("id", "v"), 1.15)
