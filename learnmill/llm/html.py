@@ -38,7 +38,7 @@ TELLING = (
     "all rights", "(c) ", "©", "copyright", "mailing list", "join", "accept", "follow us",
 )
 _HINT = re.compile("|".join(sorted(HINTS, key=len, reverse=True)))
-_TELLING = re.compile("|".join(rf"(?<!\w){re.escape(x)}" + (r"(?!\w)" if x[-1].isalpha() else "") for x in sorted(TELLING, key=len, reverse=True)))
+_TELLING = [(x, re.compile(rf"(?<!\w){re.escape(x)}" + (r"(?!\w)" if x[-1].isalpha() else ""))) for x in TELLING]
 _TAG = re.compile(
     r"<!--"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
@@ -205,7 +205,9 @@ def blocks_of(page: str | None) -> list[Block]:
 
 
 def telling(text: str) -> frozenset:
-    return frozenset(_TELLING.findall(text.lower()))
+    """The telling words in a text: each is looked for as it is, and only where it is, as a word of its own."""
+    low = text.lower()
+    return frozenset([x for x, pattern in _TELLING if x in low and pattern.search(low)])
 
 
 def features(block: Block) -> list[str]:
