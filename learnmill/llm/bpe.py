@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 from .wordbpe import Vocabulary, default_vocabulary, vocabulary
 
-#: Most bytes of a worker's memo of pieces (an entry counts its own bytes and 220 more), and most pairs in the memo of pairs; a full memo is emptied,
-#: and both are at the end of each task.
+#: Most bytes of a worker's memo of pieces (an entry counts its own bytes and 220 more), and most pairs in the memo of pairs. A full memo of pieces becomes the older one,
+#: which is looked up too and goes when the next is full, or at the end of the task.
 MEMO_BYTES, ENTRY, PAIRS = 60_000_000, 220, 200_000
 #: Texts coded at once, and their most characters (one text at least).
 AT_ONCE, CHARS = 250, 2_000_000
@@ -50,13 +50,17 @@ class PrefixEncoder:
         for i in vocab.ids.values():
             self.stands[i] = self.whole(i)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.memo_bytes = 0
 
+    def rest(self) -> None:
+        """Drops the older memo, so that a worker between tasks holds little."""
+        self.older = {}
+
     def forget(self) -> None:
-        """Empties the memos, which otherwise would live as long as the worker."""
-        self.memo.clear()
+        """Empties all memos."""
+        self.memo, self.older, self.memo_bytes = {}, {}, 0
         self.pair_memo.clear()
-        self.memo_bytes = 0
 
     def edges(self, token: int, side: int) -> tuple:
         """The symbols that form the right (side 1) or left (side 0) edge of a token while it is built, smallest
@@ -104,9 +108,12 @@ class PrefixEncoder:
     def word(self, pre_token: str) -> bytes:
         """Ids of a pre-token, as int32."""
         found = self.memo.get(pre_token)
+        if found is None and (found := self.older.get(pre_token)) is not None:
+            self.keep(pre_token, found)
         if found is not None:
             return found
-        chars = "".join(map(self.v.alphabet.__getitem__, pre_token.encode("utf-8", "surrogatepass")))
+        plain = pre_token.isascii() and pre_token.isprintable()  # these bytes stand for themselves
+        chars = pre_token if plain else "".join(map(self.v.alphabet.__getitem__, pre_token.encode("utf-8", "surrogatepass")))
         n = len(chars)
         whole = self.final.get(chars)
         if whole is not None and self.stands[whole]:
@@ -145,8 +152,7 @@ class PrefixEncoder:
     def keep(self, piece: str, ids: bytes) -> bytes:
         if len(piece) <= 64:
             if self.memo_bytes > MEMO_BYTES:
-                self.memo.clear()
-                self.memo_bytes = 0
+                self.older, self.memo, self.memo_bytes = self.memo, {}, 0
             self.memo_bytes += len(piece) + len(ids) + ENTRY
             self.memo[piece] = ids
         return ids
@@ -154,6 +160,9 @@ class PrefixEncoder:
     def piece(self, piece: str) -> bytes:
         if piece.isalpha():
             return self.word(piece)
+        found = self.older.get(piece)
+        if found is not None:
+            return self.keep(piece, found)
         return self.keep(piece, b"".join([array("i", [x]).tobytes() if isinstance(x, int) else self.word(x) for x in self.v.pre_tokens(piece)]))
 
     def encode(self, text: str) -> bytes:
@@ -207,7 +216,7 @@ def _encode(docs: DataFrame, id_col: str, text_col: str, path: str | None, decod
                         columns.append(pa.array([joined(array("i", x), tokens) for x in coded], pa.string()))
                     yield pa.RecordBatch.from_arrays(columns, names=names)
         finally:
-            enc.forget()
+            enc.rest()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, ids array<int>" + (", decoded string" if decoded else ""))
