@@ -53,7 +53,8 @@ def test_quality_counts(spark):
 
 
 def test_tokens_equal_the_library(spark):
-    tokenizers = pytest.importorskip("tokenizers")
+    import tokenizers
+
     from learnmill.llm.wordbpe import default_vocabulary
 
     tool = tokenizers.Tokenizer.from_file(default_vocabulary())
