@@ -1,11 +1,13 @@
-"""Near copies for the pipeline: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""The wide links of operator 4, SimHash near-dedup, for its form on word similarity: documents whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more.
 
-At 0.8 two SimHash fingerprints of 64 bits differ in about 10 bits, so the grid of operator 4, whose cells hold for 3 bits, cannot find such
-pairs, and a bound of 12 bits would still lose some. Candidates therefore meet in MinHash bands (16 x 4): a pair at 0.8 meets in at least one
-with probability 0.9998, a pair at 0.9 nearly always. What meets is verified exactly on whole shingle sets.
+Documents with equal sets are one node, with a SimHash fingerprint of the set. Fingerprints within 3 bits are linked by operator 4's grid join. But at a
+similarity of 0.8 fingerprints of 64 bits differ in about 10 bits, for which no grid of segment popcounts is selective, and a bound of 12 bits would
+still lose one pair in seven (figures in the README). Beside them, candidates therefore meet in MinHash bands (16 x 4): a pair at 0.8 meets in at least one
+with probability 0.9998, a pair at 0.9 nearly always. What meets there is verified exactly on whole shingle sets.
 
-Documents with equal sets are one node. Cells with the same members are kept once, cells with over ``block`` members are dealt in pairs of
-blocks, and links spread by union-find on the cluster.
+Cells with the same members are kept once, cells with over ``block`` members are dealt in pairs of blocks, and links of both kinds spread by union-find
+on the cluster.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, arrow_map, connected_components, runs_by_key, shuffle_partitions, stored
+from .common import LOWER, UPPER, arrow_map, connected_components, fresh_name, runs_by_key, shuffle_partitions, stored
+from .simhash import near_links
 
 SHINGLE, SEED, BANDS, ROWS, SIMILARITY, BLOCK = 5, 42, 16, 4, 0.8, 256
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -47,16 +50,24 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return (key ^ (key >> np.uint64(29))) * _MIX
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """Bit b is set if over half the hashes have it; 0 without hashes."""
+    if not len(hashes):
+        return 0
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def node_rows(size: int, bands: int, rows: int):
-    """From batches (doc, text) to rows (doc, h1, h2, b0...); h1, h2 are the 128-bit hash of the shingle set."""
-    names = ["doc", "h1", "h2", *(f"b{i}" for i in range(bands))]
+    """From batches (doc, text) to rows (doc, h1, h2, fp, b0...); h1, h2 are the 128-bit hash of the shingle set, fp its fingerprint."""
+    names = ["doc", "h1", "h2", "fp", *(f"b{i}" for i in range(bands))]
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
             keys = np.array([band_keys(s, bands, rows) for s in sets], np.uint64).reshape(-1, bands).view(np.int64)
-            columns = [*digests.T, *keys.T]
+            columns = [*digests.T, np.array([set_fingerprint(s) for s in sets], np.uint64).view(np.int64), *keys.T]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=names)
 
     return run, ", ".join(f"{n} long" for n in names)
@@ -118,12 +129,12 @@ def cell_links(similarity: float):
 
 
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(node): the smallest id of each group of documents that links of at least ``similarity`` connect."""
+    """(node): the smallest id of each group of documents that links connect: of at least ``similarity``, or within 3 bits of the fingerprint."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
     run, schema = node_rows(size, bands, rows)
     keys = [f"b{i}" for i in range(bands)]
-    nodes = stored(arrow_map(texts, run, schema).groupBy("h1", "h2").agg(F.min("doc").alias("node"), *(F.min(k).alias(k) for k in keys)).drop("h1", "h2"), "nodes")
+    nodes = stored(arrow_map(texts, run, schema).groupBy("h1", "h2").agg(F.min("doc").alias("node"), F.min("fp").alias("fp"), *(F.min(k).alias(k) for k in keys)).drop("h1", "h2"), "nodes")
     cells = nodes.select("node", F.explode(F.array(*keys)).alias("cell"))
     members = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("all_of_them")).where("n > 1")
     buckets = members.groupBy("n", "least", "all_of_them").agg(F.min("cell").alias("bucket")).select("bucket", "n")
@@ -135,12 +146,17 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     i, j = F.least("own", "other"), F.greatest("own", "other")
     dealt = dealt.select(F.xxhash64("cell", i, j).alias("cell"), i.alias("i"), j.alias("j"), "own", "node", "hashes")
     links = arrow_map(dealt.repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell"), cell_links(similarity), "a long, b long")
-    linked = connected_components(links).where("node <> component").select(F.col("node").alias("k"))
+    first = stored(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    same = nodes.join(first.select(F.col("fp").alias("k_fp"), "first").hint("merge"), F.col("fp") == F.col("k_fp")).where("node <> first").select("first", "node")
+    links = links.union(same).union(near_links(first.select(F.col("first").alias("node"), "fp")))
+    linked = connected_components(stored(links, "links")).where("node <> component").select(F.col("node").alias("k"))
     return nodes.select("node").join(linked, F.col("node") == F.col("k"), "left_anti")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without those that have a smaller document in their group; all columns stay. Rows with a null id stay. Ids are unique integers; a
-    row that repeats an id with the same text is treated like the other."""
-    kept = first_of_groups(docs, id_col, text_col, **how).select(F.col("node").alias("_kept"))
-    return docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    """docs without those that have a smaller document in their group; all columns stay, whatever their names. Null and empty texts have the empty set and are one group.
+    Rows with a null id stay. Ids are integers; a row that repeats an id with the same text is treated like the other; if the texts differ, all rows of the id
+    stay where one of them is the first of its group. An empty table gives an empty one."""
+    name = fresh_name(docs, "kept")
+    kept = first_of_groups(docs, id_col, text_col, **how).select(F.col("node").alias(name)).distinct()
+    return docs.join(kept, docs[id_col] == kept[name], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))

@@ -182,8 +182,8 @@ def as_hex(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, bits: int = BITS) -> DataFrame:
-    """docs without those that have a smaller document in their group; all columns stay. Rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col, size, bits)
-    kept = found.where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs without those that have a smaller document in their group of near copies by word shingles; see neardup.keep_one."""
+    from . import neardup
+
+    return neardup.keep_one(docs, id_col, text_col, **how)
