@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learnmill.llm import bpe, decontaminate, linededup, neardup, toxicity
+from learnmill.llm import bpe, decontaminate, linededup, simhash, toxicity
 from learnmill.llm.common import scratch_dir, table
 
 
@@ -24,8 +24,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (Jaccard 0.8 of five-word shingles) stays, the one with the smallest doc_id."""
-    return neardup.keep_one(docs)
+    """One document of each group of near copies (fingerprints within 3 bits, or Jaccard 0.8 of five-word shingles) stays, the one with the smallest doc_id. Null and
+    empty texts are one group; rows with a null id stay."""
+    return simhash.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("line dedup", drop_repeated_lines),
-    ("near-dedup", drop_near_copies),
+    ("SimHash near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_leaks),
     ("BPE encoding and decoding", encode),
 ]
