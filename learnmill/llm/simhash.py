@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, arrow_map, connected_components, shuffle_partitions
+from .common import LOWER, UPPER, arrow_map, connected_components, fresh_name, shuffle_partitions
 
 SHINGLE, SEED, BITS, BLOCK = 3, 42, 3, 4096
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -182,8 +182,16 @@ def as_hex(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without those that have a smaller document in their group of near copies by word shingles; see neardup.keep_one."""
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, bits: int = BITS) -> DataFrame:
+    """docs without those that have a smaller document in their group; all columns stay. Rows with a null id stay."""
+    name = fresh_name(docs, "kept")
+    found = near_duplicates(docs, id_col, text_col, size, bits)
+    kept = found.where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(kept, docs[id_col] == kept[name], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs without those that have a smaller document in their group of near copies, by fingerprints and by word similarity; see neardup.keep_one."""
     from . import neardup
 
     return neardup.keep_one(docs, id_col, text_col, **how)
