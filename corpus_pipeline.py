@@ -26,7 +26,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (fingerprints within 3 bits, or Jaccard 0.8 of five-word shingles) stays, the one with the smallest doc_id. Null and
     empty texts are one group; rows with a null id stay."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one_similar(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
