@@ -158,21 +158,26 @@ class Tree:
 
     # --- rows
 
-    def route(self, rows: DataFrame, out: str = "leaf") -> DataFrame:
-        """rows with the id of the leaf they reach. A null or unseen value of a split goes right."""
+    def route(self, rows: DataFrame, out: str = "leaf", seen: dict[str, list] | None = None) -> DataFrame:
+        """rows with the id of the node they reach: a leaf, or the node that asks for a value which is null, or is a category that ``seen`` (attribute -> categories of
+        the training rows, see categories()) does not have; such a row gets that node's majority."""
 
         def walk(i: int) -> Column:
             n = self.nodes[i]
             if n.left is None:
                 return F.lit(i)
-            test = F.col(n.attribute).cast("double") <= float(n.value) if n.op == "<=" else F.col(n.attribute).cast("string") == n.value
-            return F.when(F.coalesce(test, F.lit(False)), walk(n.left)).otherwise(walk(n.right))
+            value = F.col(n.attribute).cast("double" if n.op == "<=" else "string")
+            stays = value.isNull()
+            if n.op != "<=" and seen and n.attribute in seen:
+                stays = stays | ~value.isin([str(x) for x in seen[n.attribute]])
+            test = value <= float(n.value) if n.op == "<=" else value == str(n.value)
+            return F.when(stays, F.lit(i)).when(test, walk(n.left)).otherwise(walk(n.right))
 
         return rows.withColumn(out, walk(0).cast("long"))
 
-    def predict(self, rows: DataFrame) -> DataFrame:
-        labels = F.create_map(*(F.lit(x) for i in self.leaves() for x in (i, self.decide(self.nodes[i])[0])))
-        return self.route(rows).withColumn("predicted", labels[F.col("leaf").cast("int")])
+    def predict(self, rows: DataFrame, seen: dict[str, list] | None = None) -> DataFrame:
+        labels = F.create_map(*(F.lit(x) for i in self.below(0) for x in (i, self.decide(self.nodes[i])[0])))
+        return self.route(rows, seen=seen).withColumn("predicted", labels[F.col("leaf").cast("int")])
 
     def rules(self) -> list[tuple[int, str, object]]:
         """(leaf, conditions, label): each leaf's path, simplified: the largest lower and smallest upper bound of an attribute, one equality or all inequalities."""
@@ -196,6 +201,13 @@ class Tree:
         return out
 
 
+def categories(rows: DataFrame, cfg: TreeConfig) -> dict[str, list]:
+    """The categories of each categorical attribute, for Tree.predict."""
+    names = [a for a, continuous in cfg.attributes.items() if not continuous]
+    found = rows.agg(*(F.sort_array(F.collect_set(F.col(a).cast("string"))).alias(a) for a in names)).first() if names else {}
+    return {a: list(found[a]) for a in names}
+
+
 def grow(rows: DataFrame, cfg: TreeConfig) -> Tree:
     """A tree of up to max_depth levels. The driver holds nodes and one best split a node, never rows."""
     w = F.coalesce(F.col(cfg.weight), F.lit(1.0)) if cfg.weight else F.lit(1.0)
