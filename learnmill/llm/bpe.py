@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, hold
 from .wordbpe import Vocabulary, default_vocabulary, vocabulary
 
 #: Most bytes of a worker's memo of pieces (an entry counts its own bytes and 220 more), and most pairs in the memo of pairs. A full memo of pieces becomes the older one,
@@ -170,11 +170,21 @@ class PrefixEncoder:
         return b"".join([known(x) or make(x) for x in self.v.pieces(text)])
 
 
+#: The owner of what workers keep between tasks of this operator.
+OWNER = "bpe"
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PrefixEncoder:
     return PrefixEncoder(vocabulary(path))
 
 
+def forget_all() -> None:
+    """Drops the encoders and vocabularies of this worker."""
+    encoder.cache_clear()
+    vocabulary.cache_clear()
+
+
 def ids_array(coded: list[bytes]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), np.int32)))
@@ -207,6 +217,7 @@ def _encode(docs: DataFrame, id_col: str, text_col: str, path: str | None, decod
 
     def run(batches):
         enc, tokens = encoder(path), vocabulary(path).tokens
+        hold(OWNER, forget_all)
         try:
             for batch in batches:
                 for some, texts in slices(batch, 1):
@@ -219,7 +230,7 @@ def _encode(docs: DataFrame, id_col: str, text_col: str, path: str | None, decod
             enc.rest()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, ids array<int>" + (", decoded string" if decoded else ""))
+    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, ids array<int>" + (", decoded string" if decoded else ""), OWNER)
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -240,6 +251,7 @@ def decode(coded: DataFrame, ids_col: str = "ids", path: str | None = None) -> D
 
     def run(batches):
         tokens = vocabulary(path).tokens
+        hold(OWNER, forget_all)
         for batch in batches:
             at = batch.schema.get_field_index(ids_col)
             for part in range(0, batch.num_rows, AT_ONCE):
@@ -247,7 +259,7 @@ def decode(coded: DataFrame, ids_col: str = "ids", path: str | None = None) -> D
                 texts = [joined([i for i in ids if i is not None], tokens) if ids else "" for ids in some.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return arrow_map(coded.drop("decoded"), run, schema)
+    return arrow_map(coded.drop("decoded"), run, schema, OWNER)
 
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,10 +119,44 @@ def by_id(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]
     return texts, False
 
 
-def arrow_map(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow, with this package importable for the workers."""
+#: What tasks of this worker keep for later tasks of the same operator: owner -> what frees it.
+_held: dict[str, Callable[[], object]] = {}
+
+
+def hold(owner: str, free: Callable[[], object]) -> None:
+    """Tells that an operator keeps something in this worker until a task of another one comes."""
+    _held[owner] = free
+
+
+def release(owner: str = "") -> None:
+    """Frees what tasks of operators other than ``owner`` left in this worker, if anything."""
+    others = [name for name in _held if name != owner]
+    for name in others:
+        _held.pop(name)()
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    """Returns memory that this worker does not use to the system: workers live on between tasks, and with them what their allocators keep."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def arrow_map(df: DataFrame, run, schema, owner: str = "") -> DataFrame:
+    """df.mapInArrow, with this package importable for the workers. A task first frees what other operators hold in its worker, and gives back unused memory at its end."""
     ensure_package(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches):
+        release(owner)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from learnmill.plans.session import ensure_package
 
-from .common import arrow_map, fresh_name, stored
+from .common import arrow_map, fresh_name, release, stored
 
 #: Letters of other scripts that look like Latin ones, and signs that stand for letters.
 HOMOGLYPHS = {
@@ -326,6 +326,7 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", thres
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
+        release()
         tool = _matcher(lexicon)
         return pa.array([tool.score(t) for i in range(0, len(texts), AT_ONCE) for t in texts.slice(i, AT_ONCE).to_pylist()], pa.float64())
 
