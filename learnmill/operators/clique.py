@@ -6,18 +6,21 @@ join and one count, whatever the number of axes.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .neighbors import connected_labels
+from .neighbors import _checkpoints, connected_labels
+from .prep import grid_codes, grid_knots
 
 
 def collapsed(coded: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with equal bins as one: (row, *columns, w); row is a number of the combination that holds for one table, w how many rows have it. Counting units needs no
     more, and levels join far fewer rows."""
-    from .neighbors import _checkpoints
-
     _checkpoints(coded.sparkSession)
     return coded.groupBy(*columns).agg(F.count("*").alias("w")).withColumn("row", F.monotonically_increasing_id()).checkpoint()
 
@@ -147,3 +150,105 @@ def predict(members: DataFrame, regions: DataFrame) -> DataFrame:
     hit = held.groupBy("id", "cluster", "lows", "highs").agg(F.count("*").alias("c")).where(F.col("c") == F.size("lows"))
     best = hit.groupBy(F.col("id").alias("i")).agg(F.max("cluster").alias("cluster"))
     return members.select("id").distinct().join(best, F.col("id") == F.col("i"), "left").select("id", "cluster")
+
+
+# --- interest of subspaces, and the whole search. Subspaces come to the driver as (axes, coverage, entropy): their number depends on the axes and levels, not on the rows.
+
+Measured = list[tuple[tuple[int, ...], int, float]]
+
+
+def keep_by_code_length(measured: Measured, keep_ratio: float = 0.0) -> set[tuple[int, ...]]:
+    """Subspaces before the cut with the least bits for coverages as deviations from the means of both sides, by coverage from the top. At least two stay, and
+    ``keep_ratio`` of them; cuts with a deviation of zero are passed over; without a cut all stay."""
+    ranked = sorted(measured, key=lambda m: (-m[1], m[0]))
+    coverage = [m[1] for m in ranked]
+    n = len(ranked)
+    best, cut = math.inf, n
+    for i in range(int(max(2, n * min(1.0, max(0.0, keep_ratio)))), n - 1):
+        bits = 0.0
+        for side in (coverage[:i], coverage[i:]):
+            mean = sum(side) / len(side)
+            away = [abs(c - mean) for c in side]
+            bits += math.inf if min(away) <= 1e-5 * mean else sum(map(math.log2, away)) + math.log2(mean)
+        if bits < best:
+            best, cut = bits, i
+    return {m[0] for m in ranked[:cut]}
+
+
+def keep_by_entropy(measured: Measured, keep_ratio: float = 1.0, max_entropy: float = math.inf) -> set[tuple[int, ...]]:
+    """Of the subspaces with an entropy under ``max_entropy``, the share ``keep_ratio`` with the lowest."""
+    low = sorted((m for m in measured if m[2] < max_entropy), key=lambda m: (m[2], m[0]))
+    return {m[0] for m in low[: int(len(low) * min(1.0, max(0.0, keep_ratio)))]}
+
+
+MEASURES: dict[str, Callable[..., set[tuple[int, ...]]]] = {"mdl": keep_by_code_length, "entropy": keep_by_entropy}
+
+
+def measured_subspaces(units: DataFrame) -> Measured:
+    both = subspace_coverage(units).join(subspace_entropy(units), "subspace")
+    return sorted((tuple(r["subspace"]), r["coverage"], r["entropy"]) for r in both.collect())
+
+
+def _of_subspaces(df: DataFrame, kept: set[tuple[int, ...]]) -> DataFrame:
+    return df.where(F.concat_ws(",", F.col("subspace").cast("array<string>")).isin([",".join(map(str, k)) for k in sorted(kept)]))
+
+
+def deepest_clusters(members: DataFrame, support: int, levels: int, min_objects: int | None = None, interest: str | Callable | None = None, **how) -> DataFrame:
+    """(subspace, bins, n, cluster) of one subspace: of those of the deepest level with dense units, at most ``levels``, the one with the fewest units in clusters
+    of at least ``min_objects`` rows (``support`` if not given), of equals the first. ``interest`` is mdl, entropy, or a callable from the measured subspaces of a
+    level (and ``how``) to those that stay; a subspace is looked at only if all its faces stayed."""
+    _checkpoints(members.sparkSession)
+    least = support if min_objects is None else min_objects
+    measure = MEASURES[interest] if isinstance(interest, str) else interest
+
+    def pruned(units: DataFrame, level: DataFrame) -> tuple[DataFrame, DataFrame, set | None]:
+        if measure is None:
+            return units, level, None
+        kept = set(measure(measured_subspaces(unit_clusters(units, least)), **how))
+        return _of_subspaces(units, kept), _of_subspaces(level, kept), kept
+
+    units = first_units(members, support).checkpoint()
+    base = inside(members, units).checkpoint()
+    units, level, kept = pruned(units, base)
+    for _ in range(levels - 1):
+        grown, rows = next_units(level, base, units, support)
+        if kept is not None:
+            found = {tuple(r["subspace"]) for r in grown.select("subspace").distinct().collect()}
+            whole = {s for s in found if all(s[:i] + s[i + 1 :] in kept for i in range(len(s)))}
+            grown, rows = _of_subspaces(grown, whole), _of_subspaces(rows, whole)
+        grown = grown.checkpoint()
+        if grown.isEmpty():
+            break
+        units, level, kept = pruned(grown, rows.checkpoint())
+    clusters = unit_clusters(units, least).checkpoint()
+    best = clusters.groupBy("subspace").agg(F.count("*").alias("units")).orderBy("units", "subspace").select("subspace").limit(1)
+    return clusters.join(F.broadcast(best), "subspace", "left_semi")
+
+
+@dataclass(frozen=True)
+class CliqueModel:
+    """What predict_rows needs: the axes, their knots, and (subspace, cluster, lows, highs) with clusters numbered from 0."""
+
+    columns: tuple[str, ...]
+    knots: tuple[tuple[float, float, int], ...]
+    regions: DataFrame
+
+
+def fit_rows(rows: DataFrame, id_col: str, columns: list[str], support: int, levels: int, bins: int, min_objects: int | None = None, interest: str | Callable | None = None, **how) -> tuple[DataFrame, CliqueModel]:
+    """(id, cluster) of all rows, and the model: the whole search on a grid of ``bins`` bins an axis. Rows with equal codes are searched as one. A row in no
+    region has -1; nulls are in no bin."""
+    knots = grid_knots(rows, columns, bins=bins)
+    codes = [f"code_{c}" for c in columns]
+    few = collapsed(grid_codes(rows, columns, knots).dropna(subset=codes).select(*codes), codes)
+    clusters = deepest_clusters(memberships(few, "row", codes, "w"), support, levels, min_objects, interest, **how)
+    number = (F.dense_rank().over(Window.orderBy("cluster")) - 1).cast("long")
+    model = CliqueModel(tuple(columns), tuple(knots), maximal_regions(clusters).withColumn("cluster", number).checkpoint())
+    return predict_rows(rows, id_col, model), model
+
+
+def predict_rows(rows: DataFrame, id_col: str, model: CliqueModel) -> DataFrame:
+    """(id, cluster): the last cluster with a region around the row, on the model's knots; -1 if none."""
+    columns = list(model.columns)
+    coded = grid_codes(rows, columns, list(model.knots))
+    members = memberships(coded, id_col, [f"code_{c}" for c in columns])
+    return predict(members, model.regions).withColumn("cluster", F.coalesce("cluster", F.lit(-1).cast("long")))

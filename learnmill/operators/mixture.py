@@ -84,6 +84,20 @@ def start_from_labels(df: DataFrame, columns: list[str], label: str, k: int) ->
     return Mixture(n / n.sum(), means, q / n[:, None, None] - means[:, :, None] * means[:, None, :])
 
 
+def start_by_kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 1, max_rounds: int = 20) -> Mixture:
+    """The mixture of the clusters that k-means finds. A cluster with fewer rows than columns has a covariance that is made regular by a small ridge."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=columns, outputCol="_v").transform(df.select(*columns))
+    model = KMeans(k=k, seed=seed, maxIter=max_rounds, featuresCol="_v", predictionCol="_label").fit(rows)
+    m = start_from_labels(model.transform(rows), columns, "_label", k)
+    if not np.isfinite(m.means).all():
+        raise ValueError(f"fewer than {k} clusters")
+    ridge = np.array([1e-6 * max(1.0, float(np.trace(c))) for c in m.covs])
+    return Mixture(m.weights, m.means, m.covs + ridge[:, None, None] * np.eye(len(columns)))
+
+
 FAMILIES = ("lI", "l_kI", "lB", "l_kB", "lB_k", "l_kB_k", "lDAD", "l_kDAD", "lD_kAD_k", "l_kD_kAD_k", "lD_kA_kD_k", "l_kD_kA_kD_k")
 
 
