@@ -22,16 +22,20 @@ class Node:
     depth: int
     counts: dict = field(default_factory=dict)
     attribute: str | None = None
-    op: str | None = None  # "<=" or "=": rows that fit go left
+    op: str | None = None  # "<=" or "=": rows that fit go left; "in": each category has a child, left is the first
     value: object = None
     left: int | None = None
     right: int | None = None
     gain: float = 0.0
+    children: dict | None = None
+
+    def kids(self) -> list[int]:
+        return [] if self.left is None else list(self.children.values()) if self.children else [self.left, self.right]
 
 
 @dataclass(frozen=True)
 class TreeConfig:
-    """Attributes: name -> True for continuous. cost[predicted][actual]; priors by class."""
+    """Attributes: name -> True for continuous. cost[predicted][actual]; priors by class. multiway: a categorical attribute splits into all its categories at once."""
 
     attributes: dict
     label: str
@@ -44,6 +48,7 @@ class TreeConfig:
     weight: str | None = None
     priors: dict | None = None
     cost: dict | None = None
+    multiway: bool = False
 
 
 def impurity(shares: Column, kind: str) -> Column:
@@ -58,9 +63,10 @@ def _shares(weights: list[Column]) -> Column:
 
 
 def split_table(rows: DataFrame, node: str, cfg: TreeConfig, classes: list, scale: dict) -> DataFrame:
-    """(node, attr, value, gain, n_left, n_right): every split of every node. ``scale`` turns a class's weight into its share of the prior: prior / class weight.
+    """(node, k, threshold, cat, gain, n_left, n_right, cats): every split of every node. ``scale`` turns a class's weight into its share of the prior: prior / class weight.
 
-    Values of continuous attributes are split between neighbours (at their middle, or at the left one); of categorical ones, one value against the others."""
+    Values of continuous attributes are split between neighbours (at their middle, or at the left one); of categorical ones, one value against the others, or, if
+    multiway, all values at once: then threshold and cat are null, and cats has the values."""
     w = F.coalesce(F.col(cfg.weight), F.lit(1.0)) if cfg.weight else F.lit(1.0)
     names = list(cfg.attributes)
     # continuous values stay numbers and categories stay strings, side by side
@@ -79,10 +85,18 @@ def split_table(rows: DataFrame, node: str, cfg: TreeConfig, classes: list, scal
     here = sum(adjusted("all_")[1:], adjusted("all_")[0])
     parent = impurity(_shares(adjusted("all_")), cfg.impurity)
     both = (raw("l_") * impurity(_shares(adjusted("l_")), cfg.impurity) + raw("r_") * impurity(_shares(adjusted("r_")), cfg.impurity)) / raw("all_")
+    multi = None
+    if cfg.multiway and not all(cfg.attributes.values()):
+        sides = per.where("cat is not null").withColumns({"_in": raw("l_") * impurity(_shares(adjusted("l_")), cfg.impurity), "_w": raw("l_"), "_all": raw("all_"), "_here": here, "_parent": parent})
+        multi = sides.groupBy("node", "k").agg(F.sort_array(F.collect_list("cat")).alias("cats"), F.sum("_in").alias("inside"), F.min("n").alias("n_left"), F.min("_w").alias("least_w"), *(F.first(c).alias(c) for c in ("_all", "_here", "_parent")))
+        multi = multi.where((F.size("cats") > 1) & (F.col("n_left") >= cfg.leaf_min_rows) & (F.col("least_w") >= cfg.leaf_min_weight))
+        multi = multi.select("node", "k", F.lit(None).cast("double").alias("threshold"), F.lit(None).cast("string").alias("cat"), (F.col("_here") * (F.col("_parent") - F.col("inside") / F.col("_all"))).alias("gain"), "n_left", F.lit(None).cast("long").alias("n_right"), "cats")
+        per = per.where("cat is null")
     fits = (F.col("l_n") >= cfg.leaf_min_rows) & (F.col("r_n") >= cfg.leaf_min_rows) & (raw("l_") >= cfg.leaf_min_weight) & (raw("r_") >= cfg.leaf_min_weight)
     fits &= F.when(F.col("num").isNotNull(), F.col("next").isNotNull() & (F.col("next") - F.col("num") > 1e-8)).otherwise((F.col("n_values") > 1) & (F.col("least") >= cfg.leaf_min_rows))
     at = F.col("num") if cfg.left_most else (F.col("num") + F.col("next")) / 2
-    return per.where(fits).select("node", "k", F.when(F.col("num").isNotNull(), at).alias("threshold"), "cat", (here * (parent - both)).alias("gain"), F.col("l_n").alias("n_left"), F.col("r_n").alias("n_right"))
+    binary = per.where(fits).select("node", "k", F.when(F.col("num").isNotNull(), at).alias("threshold"), "cat", (here * (parent - both)).alias("gain"), F.col("l_n").alias("n_left"), F.col("r_n").alias("n_right"), F.lit(None).cast("array<string>").alias("cats"))
+    return binary if multi is None else binary.unionByName(multi)
 
 
 def best_splits(table: DataFrame, min_decrease: float = 0.0, digits: int = 12) -> DataFrame:
@@ -113,11 +127,11 @@ class Tree:
 
     def leaves(self, start: int = 0) -> list[int]:
         n = self.nodes[start]
-        return [start] if n.left is None else self.leaves(n.left) + self.leaves(n.right)
+        return [start] if n.left is None else [leaf for kid in n.kids() for leaf in self.leaves(kid)]
 
     def below(self, start: int) -> list[int]:
         n = self.nodes[start]
-        return [start] if n.left is None else [start, *self.below(n.left), *self.below(n.right)]
+        return [start, *(i for kid in n.kids() for i in self.below(kid))]
 
     def risks(self) -> list[tuple[int, float, float, int, float | None]]:
         """(node, R(t), R(T_t), leaves, g) of every reachable node; g is None at leaves."""
@@ -131,7 +145,7 @@ class Tree:
     def collapsed(self, ids) -> Tree:
         nodes = {i: replace(n) for i, n in self.nodes.items()}
         for i in ids:
-            nodes[i].left = nodes[i].right = nodes[i].attribute = None
+            nodes[i].left = nodes[i].right = nodes[i].attribute = nodes[i].children = None
         out = Tree(self.cfg, nodes, self.classes, self.scale)
         live = set(out.below(0))
         out.nodes = {i: n for i, n in nodes.items() if i in live}
@@ -167,6 +181,11 @@ class Tree:
             if n.left is None:
                 return F.lit(i)
             value = F.col(n.attribute).cast("double" if n.op == "<=" else "string")
+            if n.children:
+                reached = F.lit(i)
+                for category, kid in n.children.items():
+                    reached = F.when(value == category, walk(kid)).otherwise(reached)
+                return reached
             stays = value.isNull()
             if n.op != "<=" and seen and n.attribute in seen:
                 stays = stays | ~value.isin([str(x) for x in seen[n.attribute]])
@@ -187,7 +206,10 @@ class Tree:
             i = leaf
             while self.nodes[i].parent is not None:
                 p = self.nodes[self.nodes[i].parent]
-                bounds.setdefault(p.attribute, []).append((p.op if p.left == i else {"<=": ">", "=": "!="}[p.op], p.value))
+                if p.children:
+                    bounds.setdefault(p.attribute, []).append(("=", next(c for c, kid in p.children.items() if kid == i)))
+                else:
+                    bounds.setdefault(p.attribute, []).append((p.op if p.left == i else {"<=": ">", "=": "!="}[p.op], p.value))
                 i = p.node_id
             parts = []
             for a in sorted(bounds):
@@ -227,11 +249,15 @@ def grow(rows: DataFrame, cfg: TreeConfig) -> Tree:
         for s in sorted(splits, key=lambda s: s["node"]):
             n = tree.nodes[s["node"]]
             n.attribute, n.gain = names[s["k"]], s["gain"]
-            n.op, n.value = ("<=", s["threshold"]) if s["cat"] is None else ("=", s["cat"])
-            n.left, n.right = len(tree.nodes), len(tree.nodes) + 1
-            for i in (n.left, n.right):
+            kids = list(range(len(tree.nodes), len(tree.nodes) + len(s["cats"] or "12")))
+            n.left, n.right = kids[:2]
+            if s["cats"]:
+                n.op, n.children = "in", dict(zip(s["cats"], kids, strict=True))
+            else:
+                n.op, n.value = ("<=", s["threshold"]) if s["cat"] is None else ("=", s["cat"])
+            for i in kids:
                 tree.nodes[i] = Node(i, n.node_id, depth + 1)
-            fresh += [n.left, n.right]
+            fresh += kids
         if not fresh:
             break
         for r in tree.route(rows, "_node").where(F.col("_node").isin(fresh)).groupBy("_node", F.col(cfg.label).alias("y")).agg(F.sum(w).alias("w")).collect():
@@ -270,13 +296,17 @@ def cross_validated_prune(rows: DataFrame, cfg: TreeConfig, fold: str, n_folds:
 
 
 def surrogate_importance(tree: Tree, rows: DataFrame) -> dict[str, float]:
-    """For each attribute, the summed gain of its own splits and, elsewhere, of its split that best agrees with the node's own."""
+    """For each attribute, the summed gain of its own splits and, elsewhere, of its split that best agrees with the node's own. A multiway split has no
+    surrogates: it counts for its own attribute alone."""
     cfg, names = tree.cfg, list(tree.cfg.attributes)
     out = dict.fromkeys(names, 0.0)
     for i in tree.below(0):
         n = tree.nodes[i]
         if n.left is None:
             continue
+        if n.children:
+            out[n.attribute] += n.gain
+            continue
         test = F.col(n.attribute).cast("double") <= float(n.value) if n.op == "<=" else F.col(n.attribute).cast("string") == n.value
         here = _rows_below(tree, rows, i).withColumn("_side", F.when(F.coalesce(test, F.lit(False)), "l").otherwise("r")).withColumn("_one", F.lit(0))
         sides = TreeConfig(cfg.attributes, "_side", "gini", leaf_min_rows=cfg.leaf_min_rows)

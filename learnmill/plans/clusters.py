@@ -259,6 +259,21 @@ def clique_predict(spark, sf_dir):
     return found.join(weights, F.col("id") == F.col("i")).groupBy("cluster").agg(F.sum("w").alias("n"))
 
 
+_WHOLE = """WITH RECURSIVE m AS (SELECT min(p_size)::DOUBLE AS a, max(p_size)::DOUBLE AS b, min(p_retailprice) AS c, max(p_retailprice) AS d, count(*) // 25 AS least FROM part),
+g AS (SELECT p_partkey AS id, least(floor((p_size - a) / ((b - a) / 5)), 4)::BIGINT AS x, least(floor((p_retailprice - c) / ((d - c) / 5)), 4)::BIGINT AS y FROM part, m),
+u AS (SELECT x, y, count(*) AS n FROM g GROUP BY 1, 2 HAVING count(*) >= (SELECT least FROM m)), e AS (SELECT a.x AS ax, a.y AS ay, b.x AS tx, b.y AS ty FROM u a JOIN u b ON abs(a.x - b.x) + abs(a.y - b.y) <= 1),
+r(ax, ay, tx, ty) AS (SELECT * FROM e UNION SELECT r.ax, r.ay, e.tx, e.ty FROM r JOIN e ON r.tx = e.ax AND r.ty = e.ay), l AS (SELECT ax AS x, ay AS y, min(tx * 10 + ty) AS c FROM r GROUP BY 1, 2),
+k AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS cluster FROM (SELECT c FROM l JOIN u USING (x, y) GROUP BY c HAVING sum(n) >= (SELECT least FROM m)))
+SELECT id, coalesce(cluster, -1)::BIGINT AS cluster FROM g LEFT JOIN l USING (x, y) LEFT JOIN k USING (c)"""
+
+
+@query(_WHOLE)
+def clique_part(spark, sf_dir):
+    """The whole search: units, the deepest subspace's clusters, their regions, and the cluster of each row."""
+    part = table(spark, sf_dir, "part")
+    return C.fit_rows(part, "p_partkey", ["p_size", "p_retailprice"], part.count() // 25, 2, 5)[0]
+
+
 def _user_arrays(spark, sf_dir):
     """(id, v): users by x, y and their sum, for metrics in three dimensions."""
     return user_points(spark, sf_dir).select("id", F.array("x", "y", F.round(F.col("x") + F.col("y"), 9)).alias("v"))

@@ -151,6 +151,32 @@ def hmm_baum_welch(spark, sf_dir):
     return _hmm_frame(spark, *hmm.fit(sequences(spark, sf_dir), TWO, max_rounds=4, warm_rounds=1))
 
 
+#: Observations of two numbers, the value and its logarithm, under full covariances, and a state with a mixture.
+PAIRS = hmm.Hmm(TWO.start, TWO.moves, np.array([[50.0, 4.0], [150.0, 5.0]]), np.array([[[2500.0, 10.0], [10.0, 1.0]], [[10000.0, 20.0], [20.0, 1.0]]]))
+MIXED = hmm.MixtureHmm(TWO.start, TWO.moves, (mixture.Mixture(np.array([0.7, 0.3]), PAIRS.means, PAIRS.variances), mixture.Mixture(np.array([1.0]), PAIRS.means[1:], PAIRS.variances[1:])), ("l_kD_kA_kD_k", "l_kD_kA_kD_k"))
+
+
+def _pairs(spark, sf_dir):
+    return sequences(spark, sf_dir).withColumn("obs", F.array("obs", F.log("obs")))
+
+
+def _sql_pairs(b0, b1):
+    """The forward recursion over log emissions b0 and b1, made of the densities g0 and g1."""
+    dense = "-ln(2 * pi()) - 0.5 * ln({a}::DOUBLE * 1 - {b}::DOUBLE * {b}) - 0.5 * (pow(obs - {m}, 2) - 2 * {b} * (obs - {m}) * (ln(obs) - {w}) + {a}::DOUBLE * pow(ln(obs) - {w}, 2)) / ({a}::DOUBLE - {b}::DOUBLE * {b})"
+    g = f"g AS (SELECT seq_id, t, {dense.format(a=2500, b=10, m=50, w=4)} AS g0, {dense.format(a=10000, b=20, m=150, w=5)} AS g1, max(t) OVER (PARTITION BY seq_id) AS n FROM q)"
+    return f"WITH RECURSIVE {SQL_SEQ}, {g}, o AS (SELECT seq_id, t, n, {b0} AS b0, {b1} AS b1 FROM g)" + _FWD[len(_EMIT) :] + ", w AS (SELECT * FROM f) " + _states("a0", "a1")
+
+
+@query(_sql_pairs("g0", "g1"))
+def hmm_vector_forward(spark, sf_dir):
+    return hmm.recursions(_pairs(spark, sf_dir), PAIRS).select("seq_id", "t", "state", rounded(F.col("log_alpha")).alias("v"))
+
+
+@query(_sql_pairs(_LSE.format(a="(ln(0.7) + g0)", b="(ln(0.3) + g1)"), "g1"))
+def hmm_mixture_forward(spark, sf_dir):
+    return hmm.recursions(_pairs(spark, sf_dir), MIXED).select("seq_id", "t", "state", rounded(F.col("log_alpha")).alias("v"))
+
+
 # --- linear losses and one pass of solvers
 
 W = [0.3, -0.2]
@@ -368,6 +394,19 @@ def _grown(spark, sf_dir):
     return tree.grow(_tree_rows(spark, sf_dir).cache(), CONFIG)
 
 
+_MULTIWAY = """WITH t AS (SELECT p_brand, p_type, (p_size > 25)::INT AS y FROM part), c AS (SELECT 0 AS k, p_brand AS cat, count(*) AS n, sum(y) AS s FROM t GROUP BY 2 UNION ALL SELECT 1, p_type, count(*), sum(y) FROM t GROUP BY 2),
+a AS (SELECT count(*) AS n, sum(y) AS s FROM t), g AS (SELECT k, count(*) AS children, any_value(1 - pow(a.s / a.n, 2) - pow(1 - a.s / a.n, 2)) - sum(c.n / a.n * (1 - pow(c.s / c.n, 2) - pow(1 - c.s / c.n, 2))) AS gain FROM c, a GROUP BY k)
+SELECT ['p_brand', 'p_type'][k + 1] AS attribute, children, round(gain, 9) + 0.0::DOUBLE AS gain FROM g ORDER BY round(gain, 12) DESC, k LIMIT 1"""
+
+
+@query(_MULTIWAY)
+def tree_multiway_part(spark, sf_dir):
+    """The root's split into all categories of an attribute at once."""
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_type", F.when(F.col("p_size") > 25, 1).otherwise(0).alias("label"))
+    n = tree.grow(rows, tree.TreeConfig({"p_brand": False, "p_type": False}, "label", max_depth=1, multiway=True)).nodes[0]
+    return spark.createDataFrame([(n.attribute, len(n.children), round(float(n.gain), 9) + 0.0)], "attribute string, children long, gain double")
+
+
 @query()
 def tree_nodes_line(spark, sf_dir):
     t = _grown(spark, sf_dir)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from learnmill.operators import clique as C
-from learnmill.operators import gp, hmm
+from learnmill.operators import gp, hmm, tree
 from learnmill.operators.cluster import Cluster
 from learnmill.operators.mixture import Mixture
 
@@ -153,3 +153,18 @@ def test_expectation_propagation_for_the_logistic_response():
     p = gp.probability(m, np.array([[0.0], [1.0], [2.0]]))
     assert m.response == "logistic" and p[0] < 0.5 < p[2] and m.log_evidence < 0
     assert abs(m.log_evidence - gp.laplace(x, y, 1.0).log_evidence) < 0.3
+
+
+def test_multiway_tree(spark):
+    rows = [(c, x, {"a": 0, "b": 1, "c": int(x > 2)}[c]) for c in "abc" for x in range(6)]
+    df = spark.createDataFrame([(c, float(x), y) for c, x, y in rows], "cat string, x double, label int")
+    t = tree.grow(df, tree.TreeConfig({"cat": False, "x": True}, "label", max_depth=2, multiway=True))
+    assert t.nodes[0].op == "in" and sorted(t.nodes[0].children) == ["a", "b", "c"]
+    assert all(r["predicted"] == r["label"] for r in t.predict(df).collect())
+    assert {rule for _, rule, _ in t.rules()} == {"cat = a", "cat = b", "cat = c and x <= 2.5", "cat = c and x > 2.5"}
+    # an unknown category and a null get the parent's majority
+    new = spark.createDataFrame([("z", 1.0), (None, 1.0)], "cat string, x double")
+    assert {r["leaf"] for r in t.predict(new).collect()} == {0}
+    assert len(t.cost_complexity_path()[-1][1].leaves()) == 1
+    assert tree.surrogate_importance(t, df)["cat"] == pytest.approx(t.nodes[0].gain)
+    assert tree.grow(df, tree.TreeConfig({"cat": False}, "label", multiway=True, leaf_min_rows=7)).leaves() == [0]
