@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from learnmill.operators import gp, hmm, kernel, linear, mixture, nn, tree
@@ -304,7 +305,7 @@ def svm_kernel_score(spark, sf_dir):
 
 
 def _all_users(spark, sf_dir):
-    """(id, x, y) of every user, by id, as the training set of the sequential solvers; over ``kernel.MOST_ROWS`` users raise. y is a label by x."""
+    """(id, x, y) of every user, by id, as the training set of the sequential solvers; equal users are not merged; over ``kernel.MOST_ROWS`` users raise. y is a label by x."""
     got = kernel.bounded(user_points(spark, sf_dir), ["id", *XY], exact=("id",))
     order = got["id"].argsort()
     x = np.stack([got[c][order] for c in XY], 1)
@@ -317,26 +318,30 @@ def _all_users(spark, sf_dir):
 def smo_fit(spark, sf_dir):
     """SMO on all users; every user is scored."""
     _, x, y = _all_users(spark, sf_dir)
-    m = kernel.smo(kernel.kernel_matrix(x, x, 0.5), y, 1.0)
-    s = spark.createDataFrame([([float(a), float(b)], float(c)) for (a, b), c in zip(x, m.alpha * y, strict=True) if abs(c) > 1e-12], "v array<double>, coef double")
-    rows = user_points(spark, sf_dir).select("id", F.array("x", "y").alias("v"))
-    return kernel.kernel_score(rows, "v", s, m.threshold, 0.5).select("id", rounded(F.col("score")).alias("score"))
+    x, y, n = kernel.merged(x, y)
+    m = kernel.smo(kernel.KernelColumns(x, 0.5), y, 1.0, weight=n)
+    held = m.alpha > 1e-12
+    scores = kernel.kernel_sums(user_points(spark, sf_dir), "id", XY, x[held], (m.alpha * y)[held], 0.5, m.threshold)
+    return scores.select("id", rounded(F.col("scores")[0]).alias("score"))
 
 
 @query()
 def multisvm_fit(spark, sf_dir):
     """The multi-class dual on all users, with a prediction for every user."""
-    ids, x, _ = _all_users(spark, sf_dir)
-    y = (x[:, 0] > 0).astype(int) + (x[:, 1] > 0).astype(int)
-    k = kernel.kernel_matrix(x, x, 0.5)
-    label = (k @ kernel.multi_class_dual(k, y, 3)).argmax(1)
-    return spark.createDataFrame([(int(i), int(a), int(b)) for i, a, b in zip(ids, y, label, strict=True)], "id long, label long, predicted long")
+    _, x, _ = _all_users(spark, sf_dir)
+    x, y, n = kernel.merged(x, (x[:, 0] > 0).astype(int) + (x[:, 1] > 0).astype(int))
+    alpha = kernel.multi_class_dual(kernel.KernelColumns(x, 0.5), y.astype(int), 3, weight=n)
+    held = np.abs(alpha).max(1) > 1e-12
+    users = user_points(spark, sf_dir)
+    scores = kernel.kernel_sums(users, "id", XY, x[held], alpha[held], 0.5)
+    label = users.select(F.col("id").alias("i"), ((F.col("x") > 0).cast("long") + (F.col("y") > 0).cast("long")).alias("label"))
+    return label.join(scores, F.col("i") == F.col("id")).select("id", "label", (F.array_position("scores", F.array_max("scores")) - 1).alias("predicted"))
 
 
 @query()
 def cddual_fit(spark, sf_dir):
     _, x, y = _all_users(spark, sf_dir)
-    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y, strict=True)], "x1 double, x2 double, y double")
+    df = spark.createDataFrame(pa.table({"x1": x[:, 0], "x2": x[:, 1], "y": y}))
     return _weights(spark, kernel.dual_coordinates(Design(df, ["x1", "x2"]), 1.0, "l2"))
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +115,35 @@ def test_unknown_values_get_the_parents_majority(spark):
     got = {r["c"]: (r["leaf"], r["predicted"]) for r in t.predict(new, seen).collect()}
     majority = t.decide(t.nodes[0])[0]
     assert seen == {"c": ["u", "v", "w"]} and got[None] == got["never"] == (0, majority) and got["u"][1] == 1 and got["v"][1] == 0
+
+
+@pytest.fixture(scope="module")
+def many_users(spark, tmp_path_factory):
+    """6000 users in 300 places."""
+    folder = str(tmp_path_factory.mktemp("many"))
+    r = random.Random(8)
+    at = [[r.gauss(0, 1) for _ in range(3)] for _ in range(300)]
+    spark.createDataFrame([(u, x) for u in range(6000) for x in at[u % 300]], "user_id long, value double").write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["cddual_fit", "smo_fit", "multisvm_fit"])
+def test_dual_solvers_take_over_5000_users(spark, many_users, name):
+    from learnmill.operators import kernel
+    from learnmill.plans.models import _all_users
+    from learnmill.plans.registry import QUERIES
+
+    got = QUERIES[name](spark, many_users).toPandas()
+    ids, x, y = _all_users(spark, many_users)
+    if name == "cddual_fit":
+        v = got.to_numpy()[0]
+        short = np.maximum(1 - y * (x @ v), 0)
+        assert np.abs(v - 2 * (x * (y * short)[:, None]).sum(0)).max() < 1e-2  # of sums of thousands
+        return
+    assert sorted(got["id"]) == list(ids)
+    got = got.set_index("id").loc[ids]
+    if name == "smo_fit":
+        m = kernel.smo(kernel.kernel_matrix(x, x, 0.5), y, 1.0)
+        assert np.abs(got["score"].to_numpy() - (kernel.kernel_matrix(x, x, 0.5) @ (m.alpha * y) - m.threshold)).max() < 0.05
+    else:
+        assert (got["label"] == got["predicted"]).mean() > 0.97
