@@ -147,3 +147,27 @@ def test_dual_solvers_take_over_5000_users(spark, many_users, name):
         assert np.abs(got["score"].to_numpy() - (kernel.kernel_matrix(x, x, 0.5) @ (m.alpha * y) - m.threshold)).max() < 0.05
     else:
         assert (got["label"] == got["predicted"]).mean() > 0.97
+
+
+def test_process_by_features_equals_the_whole_matrix():
+    from learnmill.operators import gp, kernel
+
+    x = np.repeat(np.random.default_rng(1).normal(size=(30, 2)), 4, 0)
+    y = np.where(x[:, 0] + 0.3 * x[:, 1] > 0, 1.0, -1.0)
+    m, k = gp.laplace(x, y, 0.5), kernel.kernel_matrix(x, x, 0.5)
+    f = kernel.kernel_matrix(x, m.pivots, 0.5) @ m.to_features.T @ m.mean
+    p = 1 / (1 + np.exp(-f))
+    assert np.abs(k @ ((y + 1) / 2 - p) - f).max() < 1e-4  # the mode's condition over all 120 rows
+    w = np.sqrt(p * (1 - p))
+    want = -np.log1p(np.exp(-y * f)).sum() - 0.5 * m.mean @ m.mean - 0.5 * np.linalg.slogdet(np.eye(120) + w[:, None] * k * w)[1]
+    assert m.log_evidence == pytest.approx(want, abs=1e-5)
+
+
+@pytest.mark.parametrize("name", ["gpc_laplace", "gpc_ep", "gpc_search"])
+def test_processes_take_over_5000_users(spark, many_users, name):
+    from learnmill.plans.models import _all_users
+    from learnmill.plans.registry import QUERIES
+
+    ids, _, y = _all_users(spark, many_users)
+    got = QUERIES[name](spark, many_users).toPandas().set_index("id")["p"]
+    assert sorted(got.index) == list(ids) and ((got.loc[ids].to_numpy() > 0.5) == (y > 0)).mean() > 0.97
