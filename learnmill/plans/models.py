@@ -356,7 +356,7 @@ def _gp_query(name, fit):
 
 _gp_query("gpc_laplace", lambda x, y: gp.laplace(x, y, 0.5))
 _gp_query("gpc_ep", lambda x, y: gp.expectation_propagation(x, y, 0.5))
-_gp_query("gpc_search", lambda x, y: gp.laplace(x, y, gp.search_precision(lambda t: gp.laplace(x, y, t), 0.05, 5.0, 6)))
+_gp_query("gpc_search", lambda x, y: gp.laplace_search(x, y, 0.05, 5.0, 6))
 
 
 # --- trees over lineitem: is a line returned?

@@ -173,6 +173,59 @@ def test_processes_take_over_5000_users(spark, many_users, name):
     assert sorted(got.index) == list(ids) and ((got.loc[ids].to_numpy() > 0.5) == (y > 0)).mean() > 0.97
 
 
+def test_search_of_the_precision_fits_each_once():
+    from types import SimpleNamespace
+
+    from learnmill.operators import gp
+
+    fits = []
+    found = gp.search_precision(lambda t: fits.append(t) or SimpleNamespace(log_evidence=-abs(math.log(t / 0.7))), 0.05, 5.0, 6)
+    assert found == pytest.approx(0.7, rel=1e-3) and len(fits) == 6 + 2 + 19
+
+
+def test_laplace_over_many_different_rows_holds_no_feature_of_a_row():
+    import tracemalloc
+
+    from learnmill.operators import gp
+
+    x = np.random.default_rng(2).normal(size=(20_000, 2))
+    y = np.where(x[:, 0] + 0.3 * x[:, 1] > 0, 1.0, -1.0)
+    tracemalloc.start()
+    m = gp.laplace(x, y, 0.5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 * len(x) * len(m.mean) / 2
+
+
+@pytest.mark.parametrize(("response", "precision"), [("logistic", 0.1), ("logistic", 1.0), ("probit", 0.5)])
+def test_products_of_features_equal_pivots(response, precision):
+    from learnmill.operators import gp, kernel
+
+    r = np.random.default_rng(3)
+    x, times = r.normal(size=(2500, 2)) * [1, 2] + [5, 0], r.integers(1, 40, 2500).astype(float)
+    y = np.where(x[:, 0] - 5 + 0.3 * x[:, 1] + r.normal(size=2500) / 4 > 0, 1.0, -1.0)
+    products = gp.features_of(x, precision)
+    assert isinstance(products, gp.Products)
+    start = gp.mode(gp.features_of(x, 1.2 * precision), y, times, response).values
+    a, b, c = gp.mode(products, y, times, response), gp.mode(gp.Pivots(x, precision), y, times, response), gp.mode(products, y, times, response, start=start)
+    assert a.log_evidence == pytest.approx(b.log_evidence, abs=1e-5) and c.log_evidence == pytest.approx(b.log_evidence, abs=1e-5)
+    models = a.model(), b.model()
+    assert np.abs(gp.probability(models[0], x) - gp.probability(models[1], x)).max() < 1e-5
+    assert np.abs(models[0].features(x[:99]) @ models[0].features(x[500:]).T - kernel.kernel_matrix(x[:99], x[500:], precision)).max() < 1e-9
+    assert isinstance(gp.features_of(x * 1000, precision), gp.Pivots) and isinstance(gp.features_of(x[:20], precision), gp.Pivots)
+
+
+@pytest.mark.parametrize("column", [0, 1])
+def test_products_take_a_constant_column(column):
+    from learnmill.operators import gp
+
+    x = np.random.default_rng(4).normal(size=(3000, 2))
+    y = np.where(x[:, 1 - column] > 0.1, 1.0, -1.0)
+    x[:, column] = 2.5
+    assert isinstance(gp.features_of(x, 0.5), gp.Products)
+    assert gp.laplace(x, y, 0.5).log_evidence == pytest.approx(gp.mode(gp.Pivots(x, 0.5), y, np.ones(3000)).log_evidence, abs=1e-5)
+
+
 def test_optics_walks_over_points_without_a_table_of_neighbours(spark):
     """The order over points, with copies and ties, is that over the neighbours' table; its plan joins nothing."""
     r = random.Random(6)
